@@ -19,7 +19,6 @@ systems under a temporary name and moved into place, so a task that is run again
 from __future__ import annotations
 
 import io
-import unicodedata  # noqa: F401  (documents that NFC is the tokenizer's own)
 import uuid
 import zlib
 
@@ -129,7 +128,7 @@ def masked(crc: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """The ids of whole texts by a tokenizer file of the tokenizers library.
+    """The ids of whole texts by a tokenizer of the tokenizers library, given as its JSON text.
 
     Where the tokenizer splits texts into words by a known pattern and encodes word by word, the ids of a
     word are kept, and the library's own normaliser and model do the rest. All other tokenizers, and texts
@@ -139,7 +138,7 @@ class Encoder:
     #: The only split whose words are looked up one by one.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, memo: int = 400_000) -> None:
+    def __init__(self, description: str, memo: int = 400_000) -> None:
         import json
         import os
 
@@ -147,17 +146,16 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(description)
         self.limit, self.memo = memo, {}
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
+        made = json.loads(description)
         pre = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         byte_level = pre[-1].get("type") == "ByteLevel" and not pre[-1].get("add_prefix_space") and not pre[-1].get("use_regex")
         split = pre[0].get("type") == "Split" and pre[0].get("pattern", {}).get("Regex") == self.SPLIT
         removed = pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
         self.by_word = bool(len(pre) == 2 and split and removed and byte_level and made["model"]["type"] == "BPE")
         self.words = regex.compile(self.SPLIT).findall
-        self.simple = regex.compile(r"[\x00-\x7f¡-ɏ‐-‧]*").fullmatch
+        self.simple = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*").fullmatch
         self.special = [t["content"] for t in made.get("added_tokens") or ()]
         self.bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
@@ -189,10 +187,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(handle) -> Encoder:
+    """The encoder of a broadcast tokenizer, made once for each Python worker."""
+    if handle.value[0] not in _ENCODERS:
+        _ENCODERS[handle.value[0]] = Encoder(handle.value[1])
+    return _ENCODERS[handle.value[0]]
 
 
 # Files ---------------------------------------------------------------------------------------------
@@ -223,7 +222,19 @@ def _framed(ids: list[int], starts: np.ndarray, tokens: list[np.ndarray]) -> tup
     return out.getvalue(), lengths.astype(np.int64) + 16
 
 
-def _write_part(path: str, tokenizer: str, end_id: int):
+def _publish(target, trial: str, name: str) -> None:
+    """Move a finished file into place; an earlier run of the same task left the same content there."""
+    from pyarrow import fs
+
+    try:
+        target.move(trial, name)
+    except OSError:
+        if target.get_file_info(name).type == fs.FileType.NotFound:
+            raise
+        target.delete_file(trial)
+
+
+def _write_part(path: str, tokenizer, end_id: int):
     """Writes a partition's rows, sorted by doc_id, into one file; yields a row for the file."""
 
     def run(batches):
@@ -259,8 +270,8 @@ def _write_part(path: str, tokenizer: str, end_id: int):
                 flush(ids, tokens)
         with target.open_output_stream(f"{name}.idx.{trial}") as out:
             out.write(np.r_[np.concatenate(offsets) if offsets else np.empty(0, np.int64), here].astype("<i8").tobytes())
-        for kind in ("rec", "idx"):
-            target.move(f"{name}.{kind}.{trial}", f"{name}.{kind}")
+        for kind in ("idx", "rec"):
+            _publish(target, f"{name}.{kind}.{trial}", f"{name}.{kind}")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_ids], pa.int64()), pa.array([here], pa.int64())], names=["part", "n_ids", "n_bytes"])
 
     return run
@@ -280,8 +291,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    with open(tokenizer, encoding="utf-8") as f:  # a few megabytes, whatever the corpus
+        description = f.read()
+    handle = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, description))
     # written once: later reads of this frame must not write the files again
-    return cut(dealt.mapInArrow(_write_part(path, tokenizer, end_id), "part int, n_ids long, n_bytes long"))
+    return cut(dealt.mapInArrow(_write_part(path, handle, end_id), "part int, n_ids long, n_bytes long"))
 
 
 def read_records(written: DataFrame, path: str, wide: bool, chunk: int = 4 << 20) -> DataFrame:
@@ -356,7 +370,9 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["part", "doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    records = read_records(written, path, Encoder(tokenizer).wide)
+    with open(tokenizer, encoding="utf-8") as f:
+        wide = Encoder(f.read()).wide
+    records = read_records(written, path, wide)
     read = records.mapInArrow(summed, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     starts = file_starts(written)
     return read.join(F.broadcast(starts), read["part"] == starts["fpart"]).select(

@@ -50,6 +50,8 @@ CLOSED_BY = {
 }
 SCOPES = frozenset("ul ol dl table article section div body html main td th blockquote".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^a-zA-Z][^>]*>", re.S)
+#: A page may break off inside a tag.
+BROKEN_TAG = re.compile(r"<[/!]?[a-zA-Z][^>]*\Z")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: A slot is template if it is on so many distinct pages of a host, and alike on such a share of them.
 MIN_PAGES, TEMPLATE_SHARE = 5, 0.9
@@ -129,8 +131,8 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
             continue
         stack.append(node)
-    rest = page[at:]
-    if rest and not rest.startswith("<"):  # a page may break off inside a tag
+    rest = BROKEN_TAG.sub("", page[at:])
+    if rest:
         stack[-1].parts.append(rest)
     return root
 

@@ -18,8 +18,9 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratalog.llm.common import connected_components, cut, table
 
@@ -66,16 +67,20 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) with the fingerprint's 64 bits as a signed long; a null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_hash: Column | None = None) -> DataFrame:
+    """(doc_id, fp, h): the fingerprint's 64 bits as a signed long, and ``row_hash``. A null text counts as empty."""
 
     def run(batches):
         for batch in batches:
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        (F.lit(0).cast("long") if row_hash is None else row_hash).alias("h"),
+    )
+    return picked.mapInArrow(run, "doc_id long, fp long, h long")
 
 
 def _tally_and_verify(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +198,20 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges
 
 
+def _labels(prints: DataFrame) -> DataFrame:
+    """(cfp, comp, component_id) for each fingerprint: its component and the smallest id of all rows in it."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    comps = connected_components(links(prints))
+    named = comps.join(classes, comps["node"] == classes["fp"]).select("node", "component", "rep")
+    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = named.join(smallest, "component").select(
+        F.col("node").alias("lfp"), F.col("component").alias("lcomp"), F.col("component_id").alias("cid")
+    )
+    return classes.join(linked, classes["fp"] == linked["lfp"], "left").select(
+        F.col("fp").alias("cfp"), F.coalesce("lcomp", "fp").alias("comp"), F.coalesce("cid", "rep").alias("component_id")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -201,18 +220,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns are ignored. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comps = connected_components(links(prints))
-    named = comps.join(classes, comps["node"] == classes["fp"]).select("node", "component", "rep")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = named.join(smallest, "component").select(F.col("node").alias("lfp"), F.col("component_id").alias("cid"))
-    label = classes.join(linked, classes["fp"] == linked["lfp"], "left").select(
-        F.col("fp").alias("cfp"), F.coalesce("cid", "rep").alias("component_id")
-    )
+    label = _labels(prints)
     return prints.join(label, prints["fp"] == label["cfp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group of near-duplicates: that with the smallest id.
+
+    Among rows that share this id the one with the smallest fingerprint and row hash stays, and one of
+    rows that agree in everything; null ids come last.
+    """
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    prints = cut(fingerprints(docs, id_col, text_col, row_hash))
+    label = _labels(prints)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h")).alias("w")
+    chosen = prints.join(label, prints["fp"] == label["cfp"]).groupBy("comp").agg(first)
+    winners = cut(chosen.select(F.col("w.doc_id").alias("wid"), F.col("w.h").alias("wh")))
+    slim = prints.join(winners, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
+    repeated = not slim.groupBy("wid", "wh").count().where("count > 1").isEmpty()
+    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", row_hash)
+    kept = own.join(winners, F.col("__id").eqNullSafe(F.col("wid")) & (F.col("__h") == F.col("wh")), "left_semi")
+    if repeated:
+        again = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))
+        kept = kept.withColumn("__n", again).where("__n = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
