@@ -182,8 +182,8 @@ WITH m AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 g AS (
-  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
-         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
          sum(length(role) + length(text) + 23 + len(regexp_extract_all(role || ' ' || text, '<\\*\|'))) AS chars
   FROM m GROUP BY conv_id)
 SELECT conv_id, cast(n_turns AS bigint) AS n_turns, sha256(said) AS turns_sha256, cast(length(loss) AS bigint) AS loss_chars,
