@@ -125,19 +125,28 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(first, past, after - before) for first, past, before, after, _ in kept]
 
 
-def feature_scores(counts: dict[str, tuple[int, int]], texts: tuple[int, int]) -> dict[str, float]:
-    """Cautious log-odds of each feature from the numbers of clean and toxic texts that hold it."""
+def feature_scores(counts: dict[str, tuple[int, int]], texts: tuple[int, int], tests: int = 1) -> dict[str, float]:
+    """Cautious log-odds of each feature from the numbers of clean and toxic texts that hold it.
+
+    ``tests`` is the number of features looked at. A feature counts as toxic only if so many toxic texts
+    among those that hold it are expected by chance (Chernoff's bound) for less than one of them: rare words
+    that a few toxic texts happen to share would else add up in long clean texts.
+    """
     out = {}
     n0, n1 = max(texts[0], 1), max(texts[1], 1)
+    p, needed = n1 / (n0 + n1), math.log(max(tests, 1))
     for f, (y0, y1) in counts.items():
         prior = max(PRIOR_FLOOR, PRIOR_SHARE * (y0 + y1))
         a0, a1 = prior * n0 / (n0 + n1), prior * n1 / (n0 + n1)
         a0, a1 = max(a0, PRIOR_FLOOR), max(a1, PRIOR_FLOOR * n1 / (n0 + n1))
         odds = math.log((y1 + a1) / (n1 + a1 + a0 - y1)) - math.log((y0 + a0) / (n0 + a1 + a0 - y0))
         sd = math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
-        if odds > 0 and (cautious := odds - CAUTION * sd) > 0 and y1 >= 2:
-            out[f] = cautious
-        elif odds < 0 and odds + CAUTION * sd < 0:
+        if odds > 0:
+            surprise = y1 * math.log(y1 / (y0 + y1) / p) + (y0 * math.log(y0 / (y0 + y1) / (1 - p)) if y0 else 0.0) if y1 else 0.0
+            cautious = odds - CAUTION * sd
+            if cautious > 0 and surprise >= needed:
+                out[f] = cautious
+        elif odds + CAUTION * sd < 0:
             out[f] = odds + CAUTION * sd
     return out
 
@@ -238,10 +247,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_fea
     best = summed.where("f <> ''").where(toxic >= 2).orderBy(F.desc(ratio * F.sqrt(share)), "f").limit(max_features)
     plain = summed.where("f <> ''").where(clean >= 20).orderBy(F.desc(clean), "f").limit(max_features)
     found = {r.f: r for part in (best, plain) for r in part.collect()}
+    tests = summed.where((F.col("f") != "") & (toxic >= 2)).count()
 
     def model(halves: tuple[int, ...]) -> Model:
         counts = {f: (sum(r[f"n{h}0"] for h in halves), sum(r[f"n{h}1"] for h in halves)) for f, r in found.items()}
-        return Model(feature_scores(counts, tuple(sum(total[f"n{h}{y}"] for h in halves) for y in (0, 1))))
+        return Model(feature_scores(counts, tuple(sum(total[f"n{h}{y}"] for h in halves) for y in (0, 1)), tests))
 
     halves = rows.sparkSession.sparkContext.broadcast([model((1,)), model((0,))])
     whole = rows.sparkSession.sparkContext.broadcast(model((0, 1)))
