@@ -8,6 +8,7 @@ weight and lighter ones are not evaluated.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -130,8 +131,15 @@ def _fires(lines: Column, rules: list[Rule]) -> Column:
     return F.exists(lines, lambda x: logtext.matches(x, pattern))
 
 
-def best_span(lines: Column, sections: Column, exit_code: Column) -> Column:
-    """The span that explains the failure, as a struct ``SPAN``."""
+def marked(lines: Column) -> Column:
+    """The lines that are an anchor of any rule: one scan, so that few lines are tried against each rule."""
+    pattern = "|".join(f"(?:{r.anchor})" for r in RULES)
+    return F.filter(lines, lambda x: logtext.matches(x, pattern))
+
+
+def best_span(lines: Column, sections: Column, exit_code: Column, marks: Column | None = None) -> Column:
+    """The span that explains the failure, as a struct ``SPAN``; ``marks`` are the ``marked`` lines if known."""
+    marks = lines if marks is None else marks
     empty = F.struct(
         F.lit(TAIL_RULE).alias("rule"), F.lit("unknown").alias("category"), F.lit(0).alias("weight"), F.lit(0).alias("start_line"),
         F.lit(0).alias("end_line"), F.lit("empty log").alias("summary"), F.array().cast("array<string>").alias("lines"),
@@ -140,7 +148,7 @@ def best_span(lines: Column, sections: Column, exit_code: Column) -> Column:
     ordered = sorted(RULES, key=lambda r: -r.weight)
     for _, same in itertools.groupby(ordered, key=lambda r: r.weight):
         group = list(same)
-        out = out.when(_fires(lines, group), _best_of(group, lines, sections).cast(SPAN))
+        out = out.when(_fires(marks, group), _best_of(group, lines, sections).cast(SPAN))
     return out.otherwise(tail(lines, exit_code).cast(SPAN))
 
 
@@ -160,18 +168,38 @@ def with_lines(logs: DataFrame, log: str = "log") -> DataFrame:
     return computed(cleaned, sections=logtext.sections(F.col("lines")))
 
 
+@functools.lru_cache(maxsize=8)
+def _expressions(application: str) -> dict[str, Column]:
+    """The large expressions on columns of fixed names; building them takes longer than running a small query."""
+    lines, sections = F.col("lines"), F.col("sections")
+    text = F.col("normalised")
+    return {
+        "marks": marked(lines),
+        "coded": best_span(lines, sections, F.col("exit_code"), F.col("marks")),
+        "plain": best_span(lines, sections, F.lit(None).cast("int"), F.col("marks")),
+        "normalised": logtext.normalise(F.col("span.lines")),
+        "discriminators": logtext.discriminators(text),
+    }
+
+
+def _expression(rows: DataFrame, name: str) -> Column:
+    return _expressions(rows.sparkSession.sparkContext.applicationId)[name]
+
+
 def extract(logs: DataFrame, log: str = "log", exit_code: str | None = "exit_code") -> DataFrame:
     """Adds ``span``; every log gets one."""
-    code = F.col(exit_code) if exit_code else F.lit(None).cast("int")
-    return computed(with_lines(logs, log), span=best_span(F.col("lines"), F.col("sections"), code)).drop("lines", "sections")
+    rows = logs if exit_code in (None, "exit_code") else logs.withColumn("exit_code", F.col(exit_code))
+    found = with_lines(rows, log)
+    found = computed(found, marks=_expression(rows, "marks"))
+    return computed(found, span=_expression(rows, "coded" if exit_code else "plain")).drop("lines", "sections", "marks")
 
 
 def normalised(spans: DataFrame) -> DataFrame:
     """Adds the normalised text of ``span``."""
-    return computed(spans, normalised=logtext.normalise(F.col("span.lines")))
+    return computed(spans, normalised=_expression(spans, "normalised"))
 
 
 def fingerprinted(spans: DataFrame) -> DataFrame:
     """Adds the normalised span text, its discriminators and its digest."""
-    told = computed(normalised(spans), discriminators=logtext.discriminators(F.col("normalised")))
+    told = computed(normalised(spans), discriminators=_expression(spans, "discriminators"))
     return told.withColumn("digest", logtext.digest("normalised"))
