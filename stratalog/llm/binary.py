@@ -18,6 +18,7 @@ systems under a temporary name and moved into place, so a task that is run again
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 import zlib
@@ -33,7 +34,7 @@ END_ID = 2
 HEADER = 16
 _MASK = 0xA282EAD8
 #: Payload bytes that one worker gathers before it checks and writes them.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 
 # CRC-32C -------------------------------------------------------------------------------------------
@@ -131,52 +132,72 @@ class Encoder:
     """The ids of whole texts by a tokenizer of the tokenizers library, given as its JSON text.
 
     Where the tokenizer splits texts into words by a known pattern and encodes word by word, the ids of a
-    word are kept, and the library's own normaliser and model do the rest. All other tokenizers, and texts
-    with characters whose classes may differ between regular-expression libraries, go through ``encode``.
+    word by the library's model are kept. All other tokenizers, and texts with characters outside those
+    that ``simple`` lets pass (whose classes, case or composition may differ between libraries), go
+    through ``encode``.
     """
 
     #: The only split whose words are looked up one by one.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The same split in the characters that ``simple`` lets pass.
+    SPLIT_SIMPLE = r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_¹²³¼½¾]+|[\d¹²³¼½¾]|(?:[^\s\w]|_)+"
 
-    def __init__(self, description: str, memo: int = 400_000) -> None:
+    def __init__(self, description: str, memo: int = 200_000) -> None:
         import json
         import os
+        import re
 
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(description)
-        self.limit, self.memo = memo, {}
+        self.limit, self.chunks, self.memo = memo, {}, {}
         made = json.loads(description)
         pre = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         byte_level = pre[-1].get("type") == "ByteLevel" and not pre[-1].get("add_prefix_space") and not pre[-1].get("use_regex")
         split = pre[0].get("type") == "Split" and pre[0].get("pattern", {}).get("Regex") == self.SPLIT
         removed = pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
-        self.by_word = bool(len(pre) == 2 and split and removed and byte_level and made["model"]["type"] == "BPE")
-        self.words = regex.compile(self.SPLIT).findall
-        self.simple = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*").fullmatch
+        steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers") or ()]
+        self.by_word = bool(steps == ["NFC", "Replace", "Lowercase"] and len(pre) == 2 and split and removed and byte_level and made["model"]["type"] == "BPE")
+        self.words = re.compile(self.SPLIT_SIMPLE).findall
+        self.simple = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧]*").fullmatch
         self.special = [t["content"] for t in made.get("added_tokens") or ()]
-        self.bytes_as = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # the byte-level alphabet, learnt from the library for the bytes of the characters that pass
+        level, self.alphabet = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for c in map(chr, [*range(1, 0x250), 0x307, *range(0x2010, 0x2028)]):
+            self.alphabet.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-
-    def word_ids(self, word: str) -> list[int]:
-        mapped = word if word.isascii() else self.bytes_as.pre_tokenize_str(word)[0][0]
-        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # one object for each id
+
+    def word_ids(self, word: str) -> tuple[int, ...]:
+        found = self.memo.get(word)
+        if found is None:
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            found = tuple([self.numbers[t.id] for t in self.tokenizer.model.tokenize(mapped)])
+            if len(self.memo) >= self.limit:
+                self.memo.clear()
+            self.memo[word] = found
+        return found
+
+    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        """The ids of characters between white space, which no word of the split spans."""
+        if chunk.isalpha():
+            return self.word_ids(chunk)
+        return tuple([i for word in self.words(chunk) for i in self.word_ids(word)])
 
     def ids(self, text: str | None) -> list[int]:
         if not text:
             return []
         if not (self.by_word and self.simple(text)) or any(s in text for s in self.special):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        normal = text.lower() if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
-        memo, out = self.memo, []
-        if len(memo) > self.limit:
-            memo.clear()
-        for word in self.words(normal):
-            found = memo.get(word)
+        normal = text.lower()  # these characters are composed already and lower-cased one by one
+        chunks, out = self.chunks, []
+        if len(chunks) > self.limit:
+            chunks.clear()
+        for chunk in normal.split():
+            found = chunks.get(chunk)
             if found is None:
-                found = memo[word] = self.word_ids(word)
+                found = chunks[chunk] = self.chunk_ids(chunk)
             out += found
         return out
 
@@ -189,9 +210,11 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(handle) -> Encoder:
     """The encoder of a broadcast tokenizer, made once for each Python worker."""
-    if handle.value[0] not in _ENCODERS:
-        _ENCODERS[handle.value[0]] = Encoder(handle.value[1])
-    return _ENCODERS[handle.value[0]]
+    name, description = handle.value
+    if name not in _ENCODERS:
+        _ENCODERS.clear()  # workers live on from query to query
+        _ENCODERS[name] = Encoder(description)
+    return _ENCODERS[name]
 
 
 # Files ---------------------------------------------------------------------------------------------
@@ -259,13 +282,15 @@ def _write_part(path: str, tokenizer, end_id: int):
 
             ids, tokens, held = [], [], 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids.append(NULL_ID if doc_id is None else doc_id)
-                    tokens.append(coder.payload(text, end_id))
-                    held += tokens[-1].nbytes
-                    if held > FLUSH_BYTES:
-                        flush(ids, tokens)
-                        ids, tokens, held = [], [], 0
+                for at in range(0, batch.num_rows, 200):  # few texts at a time are Python strings
+                    some = batch.slice(at, 200)
+                    for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                        ids.append(NULL_ID if doc_id is None else doc_id)
+                        tokens.append(coder.payload(text, end_id))
+                        held += tokens[-1].nbytes
+                        if held > FLUSH_BYTES:
+                            flush(ids, tokens)
+                            ids, tokens, held = [], [], 0
             if ids:
                 flush(ids, tokens)
         with target.open_output_stream(f"{name}.idx.{trial}") as out:
@@ -293,15 +318,16 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     with open(tokenizer, encoding="utf-8") as f:  # a few megabytes, whatever the corpus
         description = f.read()
-    handle = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, description))
+    handle = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(description.encode()).hexdigest(), description))
     # written once: later reads of this frame must not write the files again
     return cut(dealt.mapInArrow(_write_part(path, handle, end_id), "part int, n_ids long, n_bytes long"))
 
 
-def read_records(written: DataFrame, path: str, wide: bool, chunk: int = 4 << 20) -> DataFrame:
+def read_records(written: DataFrame, path: str, wide: bool, chunk: int = 2 << 20, digests: bool = False) -> DataFrame:
     """(part, record, doc_id, start, ids binary) of all records, checked; ids are little-endian 32-bit integers.
 
-    One task reads one file from start to end in pieces, by the offsets of its index.
+    With ``digests`` n_tokens and ids_crc32 come in place of ids. One task reads one file from start to end
+    in pieces, by the offsets of its index.
     """
 
     def run(batches):
@@ -315,11 +341,21 @@ def read_records(written: DataFrame, path: str, wide: bool, chunk: int = 4 << 20
                     while first < len(at) - 1:
                         past = max(first + 1, int(np.searchsorted(at, at[first] + chunk, "right")) - 1)
                         data = f.read_at(int(at[past] - at[first]), int(at[first]))
-                        yield _unframed(data, at[first : past + 1] - at[first], part, first, wide)
+                        read = _unframed(data, at[first : past + 1] - at[first], part, first, wide)
+                        yield _digested(read) if digests else read
                         first = past
 
     rows = written.select("part").repartition(max(1, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
-    return rows.mapInArrow(run, "part int, record long, doc_id long, start long, ids binary")
+    tail = "n_tokens long, ids_crc32 long" if digests else "ids binary"
+    return rows.mapInArrow(run, f"part int, record long, doc_id long, start long, {tail}")
+
+
+def _digested(records: pa.RecordBatch) -> pa.RecordBatch:
+    ids = records.column(4).to_pylist()
+    return pa.RecordBatch.from_arrays(
+        [*records.columns[:4], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
+        names=[*records.schema.names[:4], "n_tokens", "ids_crc32"],
+    )
 
 
 def _unframed(data: bytes, at: np.ndarray, part: int, first: int, wide: bool) -> pa.RecordBatch:
@@ -358,22 +394,9 @@ def op5_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, tokenizer = scratch_path(spark, "records"), public_tokenizers.path("word_bpe_49k.json")
     written = write_records(table(spark, sf_dir, "documents"), path, tokenizer)
 
-    def summed(batches):
-        for batch in batches:
-            ids = batch.column(4).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(i) for i in (0, 2, 3)),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                ],
-                names=["part", "doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
     with open(tokenizer, encoding="utf-8") as f:
         wide = Encoder(f.read()).wide
-    records = read_records(written, path, wide)
-    read = records.mapInArrow(summed, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = read_records(written, path, wide, digests=True)
     starts = file_starts(written)
     return read.join(F.broadcast(starts), read["part"] == starts["fpart"]).select(
         "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"
