@@ -234,7 +234,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = cut(fingerprints(docs, id_col, text_col, row_hash))
-    label = _labels(prints)
+    return keep_first(docs, prints, _labels(prints), row_hash, id_col)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, label: DataFrame, row_hash: Column, id_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each group; ``label`` has the group of each fingerprint."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h")).alias("w")
     chosen = prints.join(label, prints["fp"] == label["cfp"]).groupBy("comp").agg(first)
     winners = cut(chosen.select(F.col("w.doc_id").alias("wid"), F.col("w.h").alias("wh")))
