@@ -82,17 +82,18 @@ def interleave(
     block_rows: int = BLOCK_ROWS,
     resolution: int = RESOLUTION,
     seed: int = SEED,
+    tie: tuple[str, ...] = (),
 ) -> DataFrame:
     """The rows of ``docs`` with block, release, deadline, slot and place (the row's place in its block).
 
     (slot, place) is the order of the mixture. A null source is a source of its own; repeated rows are all
-    placed; the added columns replace columns of the same names. An empty table gives an empty result.
+    placed, in the order of the columns ``tie``; the added columns replace columns of the same names. An empty table gives an empty result.
     """
     own = [c for c in docs.columns if c.lower() not in ("block", "release", "deadline", "slot", "place")]
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__source", F.col("source").cast("string"))
     rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")))
     bits = RANK_BUCKETS.bit_length() - 1
-    ranked = distributed_rank(rows, ["__source"], ["__h", "doc_id"], F.shiftright("__h", 64 - bits), "__rank")
+    ranked = distributed_rank(rows, ["__source"], ["__h", "doc_id", *tie], F.shiftright("__h", 64 - bits), "__rank")
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     # a period has as many rows as slots, 4000 or four for each source: small whatever the table's size
     plan = cut(period(shares(sizes, weights, resolution)))

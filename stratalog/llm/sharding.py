@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.llm import mixing
 from stratalog.llm.common import RANK_BUCKETS, cut, distributed_rank, table
 
 SHARDS, SEED = 8, 17
@@ -51,6 +52,28 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     )
 
 
+def deal(docs: DataFrame, weights: dict[str, float] | None = None, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, source, size, text_crc32, shard, slot) of every row, dealt in the order of the mixture.
+
+    Blocks of the mixture are a multiple of ``shards`` long, so each shard gets its part of every block: in
+    every shard the places follow the target weights, and sources are in proportion over whole shards.
+    """
+    block_rows = shards * -(-mixing.BLOCK_ROWS // shards)
+    rows = cut(digests(docs).drop("h"))
+    placed = cut(mixing.interleave(rows, weights, block_rows, tie=("text_crc32", "size")).drop("block", "release", "deadline"))
+    last = placed.agg(F.max("slot")).first()[0] or 0
+    bucket = F.expr(f"(slot * {RANK_BUCKETS}L) div {last + 1}L").cast("int")
+    whole = distributed_rank(placed, [], ["slot", "place"], bucket, "at")
+    return whole.select(
+        "doc_id",
+        "source",
+        "size",
+        "text_crc32",
+        F.expr(f"at % {shards}L").cast("int").alias("shard"),
+        F.expr(f"at div {shards}L").alias("slot"),
+    )
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
     """Write every row with its columns below ``path``/shard=k, sorted by slot within each file."""
     own = docs.withColumn("__crc", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
