@@ -4,9 +4,10 @@ Rows of a source, in a seeded random order, form blocks of ``block_rows`` rows.
 a/Q the block i of a source may not come before slot floor(i*Q/a), its release time, and must come before
 slot ceil((i+1)*Q/a), its deadline. Earliest-deadline-first among released blocks meets all deadlines
 when the weights sum to one, so at every slot each source has had within less than one block of its
-share. Releases and deadlines repeat after Q slots, hence so does the schedule: one period of Q slots
-(weights rounded to multiples of 1/Q, at least one slot for each source) serves any number of rows, and
-block i of a source goes to slot (i div a)*Q + its (i mod a)-th slot of the period.
+share a/Q. Releases and deadlines repeat after Q slots, hence so does the schedule: block i of a source goes
+to slot (i div a)*Q + its (i mod a)-th slot of the period. Target weights are rounded to multiples of 1/Q by
+largest remainder, and Q is the number of all blocks at least: over as many slots rounding moves a source
+by less than one block more. Only a source that would get no slot is given one, at the cost of the others.
 
 Every row is placed exactly once. When a source runs out its slots stay empty; the guarantee then goes on
 for the others in the schedule's slots. All of it is DataFrame and SQL functions.
@@ -23,13 +24,20 @@ from stratalog.llm.common import RANK_BUCKETS, cut, distributed_rank, table
 SEED, BLOCK_ROWS, RESOLUTION = 23, 16, 1000
 #: Without given weights a source weighs its row count to this power.
 TEMPER = 0.5
+#: Slots of a schedule that are listed together.
+PIECE = 1000
+#: A schedule of more slots is joined by shuffle.
+BROADCAST_SLOTS = 1 << 20
 
 
-def shares(sizes: DataFrame, weights: dict[str, float] | None, resolution: int, temper: float = TEMPER) -> DataFrame:
+def shares(
+    sizes: DataFrame, weights: dict[str, float] | None, resolution: int, temper: float = TEMPER, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """One row: ``names`` and ``a``, the sources in order and their slots of a period of ``q`` slots.
 
     ``sizes`` has (source, n). Largest remainders are rounded up until the slots add up. A source without
-    a given weight takes the smallest given one. The period has four slots for each source at least.
+    a given weight takes the smallest given one. The period has four slots for each source at least, and
+    one for each block of ``block_rows`` rows.
     """
     if weights:
         known = F.create_map(*[x for k, v in sorted(weights.items()) for x in (F.lit(k), F.lit(float(v)))])
@@ -37,19 +45,26 @@ def shares(sizes: DataFrame, weights: dict[str, float] | None, resolution: int,
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(temper))
     everything = Window.partitionBy()
-    weighed = sizes.select("source", weight.alias("w")).select(
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("long")
+    weighed = sizes.select("source", weight.alias("w"), blocks.alias("blocks")).select(
         "source",
         (F.col("w") / F.sum("w").over(everything)).alias("w"),
-        F.greatest(F.lit(resolution).cast("long"), 4 * F.count(F.lit(1)).over(everything)).alias("q"),
+        F.greatest(
+            F.lit(resolution).cast("long"), 4 * F.count(F.lit(1)).over(everything), F.sum("blocks").over(everything)
+        ).alias("q"),
     )
-    # every source has a slot; the rest is dealt by weight
-    spare = weighed.withColumn("spare", F.col("q") - F.count(F.lit(1)).over(everything))
-    ideal = F.col("w") * F.col("spare")
-    floors = spare.withColumn("base", F.floor(ideal).cast("long")).withColumn("part", ideal - F.floor(ideal))
-    left = floors.withColumn("left", F.col("spare") - F.sum("base").over(everything)).withColumn(
+    ideal = F.col("w") * F.col("q")
+    floors = weighed.withColumn("base", F.floor(ideal).cast("long")).withColumn("part", ideal - F.floor(ideal))
+    left = floors.withColumn("left", F.col("q") - F.sum("base").over(everything)).withColumn(
         "nth", F.row_number().over(everything.orderBy(F.desc("part"), "source"))
     )
-    dealt = left.select("source", "q", (1 + F.col("base") + (F.col("nth") <= F.col("left")).cast("long")).alias("a"))
+    rounded = left.withColumn("a", F.greatest(F.lit(1), F.col("base") + (F.col("nth") <= F.col("left")).cast("long")))
+    # slots of sources that would have none are taken from the others in proportion
+    over = F.sum("a").over(everything) - F.col("q")
+    so_far = F.sum(F.col("a") - 1).over(everything.orderBy("source").rowsBetween(Window.unboundedPreceding, 0))
+    spared = rounded.withColumn("over", over).withColumn("c", so_far).withColumn("all", F.sum(F.col("a") - 1).over(everything))
+    taken = "(if(all = 0, 0L, (over * c) div all) - if(all = 0, 0L, (over * (c - a + 1)) div all))"
+    dealt = spared.select("source", "q", F.expr(f"a - {taken}").cast("long").alias("a"))
     listed = dealt.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("s"))
     return listed.select("q", F.col("s.source").alias("names"), F.col("s.a").alias("a"))
 
@@ -62,10 +77,19 @@ def period(shared: DataFrame) -> DataFrame:
         f"array_min(transform(filter(sequence(0, size(a) - 1), s -> {released}), "
         f"s -> named_struct('d', {deadline}, 'a', -a[s], 's', s))).s"
     )
-    fold = (
-        "aggregate(sequence(0L, q - 1), named_struct('i', array_repeat(0L, size(a)), 'out', cast(array() as array<int>)), "
+    step = (
         f"(st, t) -> transform(array({pick}), p -> named_struct("
-        "'i', transform(st.i, (v, s) -> v + if(s = p, 1L, 0L)), 'out', array_append(st.out, p)))[0], st -> st.out)"
+        "'i', transform(st.i, (v, s) -> v + if(s = p, 1L, 0L)), 'out', array_append(st.out, p)))[0]"
+    )
+    # slots are appended to short pieces, as an append copies its array
+    piece = (
+        f"aggregate(sequence(c * {PIECE}L, least(q, (c + 1) * {PIECE}L) - 1), "
+        f"named_struct('i', o.i, 'out', cast(array() as array<int>)), {step})"
+    )
+    fold = (
+        f"flatten(aggregate(sequence(0L, (q - 1) div {PIECE}L), "
+        "named_struct('i', array_repeat(0L, size(a)), 'outs', cast(array() as array<array<int>>)), "
+        f"(o, c) -> transform(array({piece}), r -> named_struct('i', r.i, 'outs', array_append(o.outs, r.out)))[0], o -> o.outs))"
     )
     slots = shared.select("q", "names", "a", F.expr(fold).alias("order")).select(
         "q", "names", "a", F.posexplode("order").alias("at", "s")
@@ -95,13 +119,15 @@ def interleave(
     bits = RANK_BUCKETS.bit_length() - 1
     ranked = distributed_rank(rows, ["__source"], ["__h", "doc_id", *tie], F.shiftright("__h", 64 - bits), "__rank")
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    # a period has as many rows as slots, 4000 or four for each source: small whatever the table's size
-    plan = cut(period(shares(sizes, weights, resolution)))
+    # a period has as many rows as slots, one for each block of rows at least
+    plan = cut(period(shares(sizes, weights, resolution, block_rows=block_rows)))
     lengths = plan.select(F.col("source").alias("__s"), F.col("a").alias("__a"), F.col("q").alias("__q")).distinct()
     with_share = ranked.join(F.broadcast(lengths), F.col("__source").eqNullSafe(F.col("__s")))
     blocks = with_share.withColumn("block", F.expr(f"__rank div {block_rows}L")).withColumn("__j", F.expr("block % __a"))
     slots = plan.select(F.col("source").alias("__t"), F.col("j").alias("__k"), F.col("at").alias("__at"))
-    placed = blocks.join(F.broadcast(slots), F.col("__source").eqNullSafe(F.col("__t")) & (F.col("__j") == F.col("__k")))
+    if plan.count() <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
+    placed = blocks.join(slots, F.col("__source").eqNullSafe(F.col("__t")) & (F.col("__j") == F.col("__k")))
     return placed.select(
         *[F.col(f"`{c}`") for c in own],
         "block",
