@@ -1,19 +1,49 @@
-"""Cutting a plan's lineage through the folder that driver and executors share."""
+"""The folder that driver and executors share, and cutting a plan's lineage through it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once to the checkpoint folder: ``spark.checkpoint.dir``, or where that is unset and
-    Spark runs on one machine a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, one machine) a temporary folder of this machine takes its place.
+    """
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop sees them."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    there, fs = file_system(spark, path)
+    fs.delete(there, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the checkpoint folder and forget how they were made."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
