@@ -1,16 +1,23 @@
-"""Helpers shared by the training-data operators: checkpoints, distributed ranks, connected components."""
+"""Helpers shared by the training-data operators: names, distributed ranks, joins with hot keys, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets of a distributed rank: a row's bucket is counted first, then rows are numbered inside it.
-RANK_BUCKETS = 4096
+from stratalog.scratch import cut, scratch_path, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "column_or_null", "connected_components", "cut", "distributed_rank", "fresh", "join_hot", "rank_buckets", "scratch_path", "shared_dir", "small", "table"]
+
+#: A frame of a few numbers a row is broadcast up to so many rows, beyond that it is shuffled.
+BROADCAST_ROWS = 250_000
+#: Rows of one bucket of a distributed rank, about, and the fewest and most buckets.
+BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 2048, 256, 1 << 20
+#: A key is hot beyond so many rows and one in so many of all; so there are at most ``HOT_SHARE`` hot keys.
+HOT_ROWS, HOT_SHARE = 256, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,33 +29,28 @@ def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(f"`{name}`").cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """Column names made of the stems that clash with none of ``taken``, whatever the case."""
+    used, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        name, k = f"_{stem}", 0
+        while name.lower() in used:
+            k += 1
+            name = f"_{stem}_{k}"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
-    Only where that is unset (tests, one machine) a temporary folder of this machine takes its place.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir().rstrip("/")
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, marked for broadcast if it has at most ``limit`` rows. It is counted: pass a cut one."""
+    return F.broadcast(df) if df.count() <= limit else df
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and forget how they were made."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def rank_buckets(rows: int) -> int:
+    """A power of two of buckets for a distributed rank over so many rows."""
+    wanted = max(FEWEST_BUCKETS, min(MOST_BUCKETS, rows // BUCKET_ROWS))
+    return 1 << (wanted - 1).bit_length()
 
 
 def distributed_rank(
@@ -60,61 +62,80 @@ def distributed_rank(
     Rows are counted by (group, bucket), the counts are summed up over the buckets of a group, and only
     the rows of one bucket are numbered together. ``total`` names a column for the group's row count.
     """
-    tagged = df.withColumn("__bucket", bucket)
-    keys = [*group, "__bucket"]
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    b, n, row, before, whole_n, *ks = fresh([*df.columns, out, total or ""], "bucket", "n", "row", "before", "total", *(f"k{i}" for i in range(len(group) + 1)))
+    tagged = df.withColumn(b, bucket)
+    keys = [*group, b]
+    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     whole = Window.partitionBy(*group) if group else Window.partitionBy()
-    before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
-        F.sum("__n").over(whole).alias("__total"),
+        *[F.col(k).alias(ks[i]) for i, k in enumerate(keys)],
+        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before),
+        F.sum(n).over(whole).alias(whole_n),
     )
-    numbered = tagged.withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    joined = numbered.join(offsets, match, "inner").withColumn(out, F.col("__before") + F.col("__row"))
+    numbered = tagged.withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    match = [F.col(k).eqNullSafe(F.col(ks[i])) for i, k in enumerate(keys)]
+    joined = numbered.join(offsets, match, "inner").withColumn(out, F.col(before) + F.col(row))
     if total:
-        joined = joined.withColumn(total, F.col("__total"))
-    return joined.drop("__bucket", "__row", "__before", "__total", "__n", *[f"__k{i}" for i in range(len(keys))])
+        joined = joined.withColumn(total, F.col(whole_n))
+    return joined.drop(b, row, before, whole_n, n, *ks)
+
+
+def join_hot(rows: DataFrame, key: str, keyed: DataFrame, counted: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which holds each value of ``key`` once and its row count in ``counted``.
+
+    Keys with more than ``HOT_ROWS`` rows and more than one row in ``HOT_SHARE`` of all ``total`` are joined by
+    broadcast, of which there are at most ``HOT_SHARE``; only the others are shuffled. Null keys find nothing.
+    """
+    bound = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(keyed.where(F.col(counted) > bound).drop(counted))
+    names = [*rows.columns, *[c for c in keyed.columns if c not in (key, counted)]]
+    one = rows.join(hot, key).select(*names)
+    rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(counted) <= bound).drop(counted), key)
+    return one.unionByName(rest.select(*names))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b): component is the smallest node reachable.
 
-    Alternates large-star and small-star steps: each replaces an edge by one to the smallest neighbour,
-    so the edge count never grows, no neighbourhood is gathered in one task (only its minimum, combined
-    before the shuffle), and the number of rounds grows with the logarithm of the longest path.
+    Alternates large-star and small-star steps: each replaces an edge by one to the smallest neighbour, so
+    the edge count never grows and the number of rounds grows with the logarithm of the longest path. Of
+    a neighbourhood only the minimum is aggregated, combined before the shuffle; the edges of a hub find
+    it by broadcast (``join_hot``), so they are never gathered in one task.
     """
     current = cut(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
+    total = current.count()
     for _ in range(max_rounds):
+        if not total:
+            break
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
         large = (
-            both.where(F.col("v") > F.col("u"))
-            .join(least, "u")
+            join_hot(both.where(F.col("v") > F.col("u")), "u", least, "deg", 2 * total)
             .select(F.col("m").alias("a"), F.col("v").alias("b"))
             .where("a != b")
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        large = large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        lowest = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = (
-            large.join(lowest, "b")
+        large = cut(large)
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("deg"))
+        small_star = (
+            join_hot(large, "b", lowest, "deg", total)
             .select(F.explode(F.array(F.struct("m", F.col("a").alias("x")), F.struct("m", F.col("b").alias("x")))).alias("e"))
             .select(F.col("e.m").alias("a"), F.col("e.x").alias("b"))
             .where("a != b")
             .distinct()
         )
-        current = cut(small)
+        current = cut(small_star)
         # settled when every node hangs on one root and no root hangs on anything
-        edges_left, hanging = current.agg(F.count(F.lit(1)), F.countDistinct("b")).first()
-        if edges_left == hanging and current.join(current.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty():
+        total, hanging = current.agg(F.count(F.lit(1)), F.countDistinct("b")).first()
+        if total == hanging and current.join(current.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty():
             break
     else:
         raise RuntimeError("connected components did not settle")

@@ -234,7 +234,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: A plain rendering: all word windows of the documents joined with all windows of the items.
 ORACLE = r"""
 WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -243,9 +243,11 @@ patterns AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS p
   FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM items WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT l FROM patterns),
-places AS (
-  SELECT doc_id, l, i, array_to_string(w[i:i + l - 1], ' ') AS p
-  FROM (SELECT doc_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM words, lengths WHERE len(w) >= l)),
+tokens AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+ahead AS (
+  SELECT doc_id, i, n, [word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o, lead(word, 5) OVER o, lead(word, 6) OVER o, lead(word, 7) OVER o, lead(word, 8) OVER o, lead(word, 9) OVER o] AS next
+  FROM tokens WINDOW o AS (PARTITION BY r ORDER BY i)),
+places AS (SELECT doc_id, l, i, array_to_string(next[1:l], ' ') AS p FROM ahead, lengths WHERE i + l - 1 <= n),
 found AS (SELECT doc_id, item_id, i, places.l AS l FROM places JOIN patterns USING (l, p)),
 hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS j FROM found) GROUP BY doc_id),
 held AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT cast(item_id AS varchar), ',' ORDER BY cast(item_id AS varchar))) AS s FROM found GROUP BY doc_id)

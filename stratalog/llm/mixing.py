@@ -11,6 +11,10 @@ by less than one block more. Only a source that would get no slot is given one,
 
 Every row is placed exactly once. When a source runs out its slots stay empty; the guarantee then goes on
 for the others in the schedule's slots. All of it is DataFrame and SQL functions.
+
+The schedule is made slot after slot in one task and its time is slots times sources. Blocks of a large
+table are made so much larger that it has about ``MOST_SLOTS`` slots at most; the number of sources is
+taken to be small (thousands), as each must be looked at for each slot.
 """
 
 from __future__ import annotations
@@ -19,15 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import RANK_BUCKETS, cut, distributed_rank, table
+from stratalog.llm.common import cut, distributed_rank, fresh, rank_buckets, table
 
 SEED, BLOCK_ROWS, RESOLUTION = 23, 16, 1000
+#: Blocks of all sources together, about; beyond, a block has more rows.
+MOST_SLOTS = 1 << 20
 #: Without given weights a source weighs its row count to this power.
 TEMPER = 0.5
 #: Slots of a schedule that are listed together.
 PIECE = 1000
 #: A schedule of more slots is joined by shuffle.
-BROADCAST_SLOTS = 1 << 20
+BROADCAST_SLOTS = 1 << 18
+#: What the schedule adds to a row.
+PLACED = ("block", "release", "deadline", "slot", "place")
 
 
 def shares(
@@ -100,10 +108,44 @@ def period(shared: DataFrame) -> DataFrame:
     )
 
 
+def rows_of_block(rows: int, least: int = BLOCK_ROWS) -> int:
+    """The size of a block for a table of so many rows: a multiple of ``least``."""
+    return least * max(1, -(-rows // (least * MOST_SLOTS)))
+
+
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int | None, resolution: int, seed: int, tie: tuple[str, ...], names: list[str]) -> DataFrame:
+    """The rows of ``docs`` with the columns ``PLACED`` under ``names``, which are new ones."""
+    source, h, rank, s, a, q, j, t, k, at = fresh([*docs.columns, *names], *"source h rank s a q j t k at".split())
+    total = docs.count()
+    size = block_rows or rows_of_block(total)
+    rows = docs.withColumn(source, F.col("source").cast("string")).withColumn(h, F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")))
+    bits = rank_buckets(total).bit_length() - 1
+    ranked = distributed_rank(rows, [source], [h, "doc_id", *tie], F.shiftright(h, 64 - bits), rank)
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    # a period has as many rows as slots, one for each block of rows at least
+    plan = cut(period(shares(sizes, weights, resolution, block_rows=size)))
+    lengths = plan.select(F.col("source").alias(s), F.col("a").alias(a), F.col("q").alias(q)).distinct()
+    with_share = ranked.join(F.broadcast(lengths), F.col(source).eqNullSafe(F.col(s)))
+    block, release, deadline, slot, place = names
+    blocks = with_share.withColumn(block, F.expr(f"{rank} div {size}L")).withColumn(j, F.expr(f"`{block}` % {a}"))
+    slots = plan.select(F.col("source").alias(t), F.col("j").alias(k), F.col("at").alias(at))
+    if plan.count() <= BROADCAST_SLOTS:
+        slots = F.broadcast(slots)
+    placed = blocks.join(slots, F.col(source).eqNullSafe(F.col(t)) & (F.col(j) == F.col(k)))
+    return placed.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        block,
+        F.expr(f"(`{block}` * {q}) div {a}").alias(release),
+        F.expr(f"((`{block}` + 1) * {q} + {a} - 1) div {a}").alias(deadline),
+        F.expr(f"(`{block}` div {a}) * {q} + {at}").alias(slot),
+        F.expr(f"{rank} % {size}L").alias(place),
+    )
+
+
 def interleave(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     resolution: int = RESOLUTION,
     seed: int = SEED,
     tie: tuple[str, ...] = (),
@@ -111,38 +153,23 @@ def interleave(
     """The rows of ``docs`` with block, release, deadline, slot and place (the row's place in its block).
 
     (slot, place) is the order of the mixture. A null source is a source of its own; repeated rows are all
-    placed, in the order of the columns ``tie``; the added columns replace columns of the same names. An empty table gives an empty result.
+    placed, in the order of the columns ``tie``; rows without an id come first of those with equal hash.
+    Columns of ``docs`` with the names of the added ones are left out, see ``mixed_documents`` for all of
+    them. An empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c.lower() not in ("block", "release", "deadline", "slot", "place")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("__source", F.col("source").cast("string"))
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")))
-    bits = RANK_BUCKETS.bit_length() - 1
-    ranked = distributed_rank(rows, ["__source"], ["__h", "doc_id", *tie], F.shiftright("__h", 64 - bits), "__rank")
-    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    # a period has as many rows as slots, one for each block of rows at least
-    plan = cut(period(shares(sizes, weights, resolution, block_rows=block_rows)))
-    lengths = plan.select(F.col("source").alias("__s"), F.col("a").alias("__a"), F.col("q").alias("__q")).distinct()
-    with_share = ranked.join(F.broadcast(lengths), F.col("__source").eqNullSafe(F.col("__s")))
-    blocks = with_share.withColumn("block", F.expr(f"__rank div {block_rows}L")).withColumn("__j", F.expr("block % __a"))
-    slots = plan.select(F.col("source").alias("__t"), F.col("j").alias("__k"), F.col("at").alias("__at"))
-    if plan.count() <= BROADCAST_SLOTS:
-        slots = F.broadcast(slots)
-    placed = blocks.join(slots, F.col("__source").eqNullSafe(F.col("__t")) & (F.col("__j") == F.col("__k")))
-    return placed.select(
-        *[F.col(f"`{c}`") for c in own],
-        "block",
-        F.expr("(block * __q) div __a").alias("release"),
-        F.expr("((block + 1) * __q + __a - 1) div __a").alias("deadline"),
-        F.expr("(block div __a) * __q + __at").alias("slot"),
-        F.expr(f"__rank % {block_rows}L").alias("place"),
-    )
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in PLACED])
+    return _placed(own, weights, block_rows, resolution, seed, tie, list(PLACED))
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
-    """The rows and columns of ``docs`` in the order of the mixture: partition by partition, row by row."""
-    placed = interleave(docs, weights, seed=seed)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    """The rows and columns of ``docs`` in the order of the mixture: partition by partition, row by row.
+
+    Columns may have any names. Null sources, repeated rows and empty tables are treated as in ``interleave``.
+    """
+    names = fresh(docs.columns, *PLACED)
+    placed = _placed(docs, weights, None, RESOLUTION, seed, (), names)
+    parts, order = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), names[3:]
+    return placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stratalog.llm import mixing
-from stratalog.llm.common import RANK_BUCKETS, cut, distributed_rank, table
+from stratalog.llm.common import cut, distributed_rank, fresh, rank_buckets, table
 
 SHARDS, SEED = 8, 17
 
@@ -39,11 +40,12 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     """
     rows = cut(digests(docs, seed))
     tie = ["h", "doc_id", "text_crc32", "size"]
-    bits = RANK_BUCKETS.bit_length() - 1
+    buckets = rank_buckets(rows.count())
+    bits = buckets.bit_length() - 1
     ranked = cut(distributed_rank(rows, ["source"], tie, F.shiftright("h", 64 - bits), "rank", "of"))
     placed = ranked.withColumn("fraction", (2 * F.col("rank") + 1) / (2 * F.col("of")))
     whole = distributed_rank(
-        placed, [], ["fraction", "source", *tie], F.floor(F.col("fraction") * RANK_BUCKETS).cast("int"), "place", "rows"
+        placed, [], ["fraction", "source", *tie], F.floor(F.col("fraction") * buckets).cast("int"), "place", "rows"
     )
     shard = F.expr(f"(place * {shards}L) div rows")
     first = F.expr(f"(shard * rows + {shards - 1}L) div {shards}L")
@@ -57,12 +59,15 @@ def deal(docs: DataFrame, weights: dict[str, float] | None = None, shards: int =
 
     Blocks of the mixture are a multiple of ``shards`` long, so each shard gets its part of every block: in
     every shard the places follow the target weights, and sources are in proportion over whole shards.
+    Null texts and sources, repeated rows, other columns and few rows are treated as in ``assign``; an empty
+    table gives an empty result.
     """
-    block_rows = shards * -(-mixing.BLOCK_ROWS // shards)
     rows = cut(digests(docs).drop("h"))
+    total = rows.count()
+    block_rows = mixing.rows_of_block(total, shards * -(-mixing.BLOCK_ROWS // shards))
     placed = cut(mixing.interleave(rows, weights, block_rows, tie=("text_crc32", "size")).drop("block", "release", "deadline"))
     last = placed.agg(F.max("slot")).first()[0] or 0
-    bucket = F.expr(f"(slot * {RANK_BUCKETS}L) div {last + 1}L").cast("int")
+    bucket = F.expr(f"(slot * {rank_buckets(total)}L) div {last + 1}L").cast("int")
     whole = distributed_rank(placed, [], ["slot", "place"], bucket, "at")
     return whole.select(
         "doc_id",
@@ -75,24 +80,19 @@ def deal(docs: DataFrame, weights: dict[str, float] | None = None, shards: int =
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> None:
-    """Write every row with its columns below ``path``/shard=k, sorted by slot within each file."""
-    own = docs.withColumn("__crc", F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    kept = assign(docs, shards, seed).select(
-        F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__of"), F.col("source").alias("__source"), "shard", "slot"
-    )
-    # repeated rows meet their places one to one
-    again = ["__id", "__of", "__source"]
-    from pyspark.sql.window import Window
-
-    kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy(*again).orderBy("shard", "slot")))
-    own = own.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__crc", "source").orderBy(F.lit(0))))
-    on = (
-        own["doc_id"].eqNullSafe(kept["__id"])
-        & (own["__crc"] == kept["__of"])
-        & own["source"].eqNullSafe(kept["__source"])
-        & (own["__nth"] == kept["__nth"])
-    )
-    out = own.join(kept, on).drop(own["__nth"]).drop("__crc", "__id", "__of", "__source", "__nth")
+    """Write every row with its columns below ``path``/shard=k, sorted by slot within each file.
+
+    A column ``shard`` or ``slot`` of ``docs`` is replaced by the row's own; other columns may have any
+    names. Repeated rows meet their places one to one; a null text, source or id is a value like any other.
+    """
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
+    crc, i, of, source, nth, mth = fresh([*kept.columns, "shard", "slot"], *"crc id of source nth mth".split())
+    own = kept.withColumn(crc, F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    own = own.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", crc, "source").orderBy(crc)))
+    places = assign(docs, shards, seed).select(F.col("doc_id").alias(i), F.col("text_crc32").alias(of), F.col("source").alias(source), "shard", "slot")
+    places = places.withColumn(mth, F.row_number().over(Window.partitionBy(i, of, source).orderBy("shard", "slot")))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(crc) == F.col(of)) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    out = own.join(places, on & (F.col(nth) == F.col(mth))).drop(crc, i, of, source, nth, mth)
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import connected_components, cut, table
+from stratalog.llm.common import connected_components, cut, fresh, join_hot, small, table
 
 BITS, SEED, WORDS, MAX_DIFFERING, POSITIONS = 64, 42, 3, 3, 8
 #: Positions that must agree: each differing bit spoils one at most.
@@ -198,18 +198,10 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     return edges
 
 
-def _labels(prints: DataFrame) -> DataFrame:
-    """(cfp, comp, component_id) for each fingerprint: its component and the smallest id of all rows in it."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comps = connected_components(links(prints))
-    named = comps.join(classes, comps["node"] == classes["fp"]).select("node", "component", "rep")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = named.join(smallest, "component").select(
-        F.col("node").alias("lfp"), F.col("component").alias("lcomp"), F.col("component_id").alias("cid")
-    )
-    return classes.join(linked, classes["fp"] == linked["lfp"], "left").select(
-        F.col("fp").alias("cfp"), F.coalesce("lcomp", "fp").alias("comp"), F.coalesce("cid", "rep").alias("component_id")
-    )
+def classes(prints: DataFrame, *more: Column) -> DataFrame:
+    """One row per fingerprint: ``rows`` that have it, its first row ``w`` (null ids last) and ``more`` aggregates."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("w")
+    return prints.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), first, *more)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,11 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat an id are each
     returned. A null id stays null and never names a component; a component without any id is null.
-    Other columns are ignored. An empty table gives an empty result.
+    Other columns are ignored, whatever their names. An empty table gives an empty result. The rows of one
+    fingerprint find their component by broadcast where they are many, so copies are never gathered.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    label = _labels(prints)
-    return prints.join(label, prints["fp"] == label["cfp"]).select(
+    kinds = cut(classes(prints))
+    groups = connected_components(links(prints))
+    named = kinds.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "rows", F.col("w.doc_id").alias("rep"), F.coalesce("component", "fp").alias("comp"))
+    smallest = named.groupBy(F.col("comp").alias("c")).agg(F.min("rep").alias("component_id"))
+    label = cut(named.join(smallest, F.col("comp") == F.col("c")).select("fp", "rows", "component_id"))
+    return join_hot(prints.select("doc_id", "fp"), "fp", label, "rows", prints.count()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -229,26 +226,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, with all its columns, of each group of near-duplicates: that with the smallest id.
 
-    Among rows that share this id the one with the smallest fingerprint and row hash stays, and one of
-    rows that agree in everything; null ids come last.
+    Among rows that share this id the one with the smallest row hash stays, and one of rows that agree in
+    everything; null ids come last. An empty table stays empty.
     """
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     prints = cut(fingerprints(docs, id_col, text_col, row_hash))
-    return keep_first(docs, prints, _labels(prints), row_hash, id_col)
-
-
-def keep_first(docs: DataFrame, prints: DataFrame, label: DataFrame, row_hash: Column, id_col: str) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each group; ``label`` has the group of each fingerprint."""
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h")).alias("w")
-    chosen = prints.join(label, prints["fp"] == label["cfp"]).groupBy("comp").agg(first)
-    winners = cut(chosen.select(F.col("w.doc_id").alias("wid"), F.col("w.h").alias("wh")))
-    slim = prints.join(winners, F.col("doc_id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh")))
-    repeated = not slim.groupBy("wid", "wh").count().where("count > 1").isEmpty()
-    own = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__h", row_hash)
-    kept = own.join(winners, F.col("__id").eqNullSafe(F.col("wid")) & (F.col("__h") == F.col("wh")), "left_semi")
-    if repeated:
-        again = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))
-        kept = kept.withColumn("__n", again).where("__n = 1")
+    return keep_first(docs, prints, cut(classes(prints)), connected_components(links(prints)), row_hash, id_col)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, kinds: DataFrame, groups: DataFrame, row_hash: Column, id_col: str) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each group; fingerprints outside ``groups`` are their own.
+
+    Winners are found among the fingerprints, one row each; the rows to go are then taken away from ``docs``,
+    by broadcast where they are few.
+    """
+    grouped = kinds.join(groups, F.col("fp") == F.col("node"), "left")
+    winners = grouped.groupBy(F.coalesce("component", "fp").alias("comp")).agg(F.min("w").alias("w")).select("w.doc_id", "w.h")
+    wid, wh, key, hashed, nth = fresh(docs.columns, "wid", "wh", "id", "h", "nth")
+    rows = prints.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h"))
+    losers = cut(rows.alias("l").join(winners.alias("r"), same, "left_anti").select(F.col("doc_id").alias(wid), F.col("h").alias(wh)))
+    again = cut(rows.where("n > 1").alias("l").join(winners.alias("r"), same, "left_semi").select(F.col("doc_id").alias(wid), F.col("h").alias(wh)))
+    own = docs.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(hashed, row_hash)
+    on = F.col(key).eqNullSafe(F.col(wid)) & (F.col(hashed) == F.col(wh))
+    kept = own.join(small(losers), on, "left_anti")
+    if not again.isEmpty():  # of winners that agree in everything one stays
+        numbered = kept.join(small(again), on, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, hashed).orderBy(hashed)))
+        kept = kept.join(small(again), on, "left_anti").unionByName(numbered.where(F.col(nth) == 1).drop(nth))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
