@@ -5,15 +5,16 @@ all characters beyond ASCII. Every window of ten consecutive words of an item (a
 window) is a pattern, framed by single spaces. A document is joined to one such string of words and read
 once; ends of matches are mapped to word numbers, and these to code points of the original text.
 
-The automaton is built in each Python worker from the broadcast windows. The benchmark's size is measured
-first: up to ``CHUNK_BYTES`` of text make one automaton, a larger benchmark is cut into several, each of
-them read by one more pass over the rows in the same stage.
+The automaton is built in each Python worker from the broadcast items. Its nodes are bounded first, by the
+bytes of all windows: up to ``MAX_NODES`` make one automaton. A larger benchmark is cut into several, each
+with a pass of its own over the texts, so that a worker never holds more than one; such a pass returns only
+the rows that it hits, which the last pass merges.
 """
 
 from __future__ import annotations
 
 import bisect
-import hashlib
+import functools
 import math
 import re
 import uuid
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import table
+from stratalog.llm.common import cut, small, table
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that go into one automaton.
-CHUNK_BYTES = 8_000_000
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: Nodes of one automaton; one takes some 50 bytes.
+MAX_NODES = 6_000_000
+#: A word of a text as it is, before A-Z is lower-cased.
+WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Maps A-Z to a-z and every other ASCII character that is not a letter or digit to a space.
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
@@ -45,15 +47,15 @@ def normalised(text: str | None) -> list[str]:
     return [w.decode("utf-8") for w in _words(text)]
 
 
-def windows(items: list[tuple[int, str]], size: int = WINDOW) -> dict[str, tuple[int, list[int]]]:
-    """Pattern -> (its words, ids of the items that hold it)."""
+def windows(items: list[tuple[int | None, str]], size: int = WINDOW) -> dict[str, tuple[int, list[int]]]:
+    """Pattern -> (its words, ids of the items that hold it). An item without an id has patterns but no name."""
     found: dict[str, tuple[int, list[int]]] = {}
     for item_id, text in items:
         words = normalised(text)
         for i in range(max(1, len(words) - size + 1) if words else 0):
             part = words[i : i + size]
             ids = found.setdefault(" " + " ".join(part) + " ", (len(part), []))[1]
-            if item_id not in ids:
+            if item_id is not None and item_id not in ids:
                 ids.append(item_id)
     return found
 
@@ -66,12 +68,11 @@ def _automaton(handle) -> object:
     import ahocorasick
 
     if handle.key not in _BUILT:
+        _BUILT.clear()
         made = ahocorasick.Automaton()
         for pattern, value in windows(handle.items.value).items():
             made.add_word(pattern, value)
         made.make_automaton()
-        if len(_BUILT) > 3:
-            _BUILT.clear()
         _BUILT[handle.key] = made
     return _BUILT[handle.key]
 
@@ -112,66 +113,90 @@ def merged(ranges: list[tuple[int, int]]) -> list[int]:
 
 
 def _pass(handle):
+    """Scans texts; ``found`` lists (hits, items) of the row in other parts of the benchmark."""
+
     def run(batches):
         automaton = None
         for batch in batches:
             automaton = automaton or _automaton(handle)
-            rows = batch.to_pydict()
-            old_hits = rows.get("hits") or [None] * batch.num_rows
-            old_items = rows.get("items") or [None] * batch.num_rows
             counts, hits, items = [], [], []
-            for text, before, had in zip(rows["text"], old_hits, old_items, strict=True):
-                n, flat, ids = _scan(text, automaton)
-                if before:
-                    both = [*zip(flat[::2], flat[1::2], strict=True), *zip(before[::2], before[1::2], strict=True)]
-                    flat = merged(both)
+            for value, others in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                n, flat, ids = _scan(value.as_py(), automaton)
+                if others:
+                    lists = [flat, *(o["hits"] for o in others)]
+                    flat = merged([r for x in lists for r in zip(x[::2], x[1::2], strict=True)])
+                    ids = ids.union(*(o["items"] for o in others))
                 counts.append(n)
                 hits.append(flat)
-                items.append(sorted(ids | set(had or ())))
+                items.append(sorted(ids))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("doc_id")),
-                    batch.column(batch.schema.get_field_index("text")),
-                    pa.array(counts, pa.int64()),
-                    pa.array(hits, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.int64())),
-                ],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hits, LIST), pa.array(items, LIST)],
                 names=["doc_id", "text", "n_words", "hits", "items"],
             )
 
     return run
 
 
-def _handles(benchmark: DataFrame, chunk_bytes: int) -> list[_Handle]:
-    """The benchmark in broadcasts of at most about ``chunk_bytes`` of text each."""
+LIST = pa.list_(pa.int64())
+
+
+def _partial_pass(handle):
+    """(key, hits, items) of the texts that are hit."""
+
+    def run(batches):
+        automaton = None
+        for batch in batches:
+            automaton = automaton or _automaton(handle)
+            rows = []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, flat, ids = _scan(value.as_py(), automaton)
+                if flat:
+                    rows.append((key, flat, sorted(ids)))
+            key, hits, items = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(hits, LIST), pa.array(items, LIST)], names=["key", "hits", "items"])
+
+    return run
+
+
+def _handles(benchmark: DataFrame, max_nodes: int) -> list[_Handle]:
+    """The benchmark in broadcasts whose windows have at most about ``max_nodes`` bytes each."""
     spark = benchmark.sparkSession
     items = (
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-        .dropna()
+        .where("text IS NOT NULL")
         .distinct()
     )
-    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
+    total = items.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    chunks = max(1, math.ceil(total * WINDOW / max_nodes))
     made = []
     for c in range(chunks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == c)
-        rows = sorted((r[0], r[1]) for r in mine.collect())
+        rows = [(r[0], r[1]) for r in mine.orderBy("item_id", "text").collect()]
         made.append(_Handle(uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
     return made
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """(doc_id, text, n_words, hits, items) for each document.
 
     ``hits`` holds half-open ranges of word numbers as a flat list, merged and in order; ``items`` the ids
-    of items with a window that occurs, in order. A null or empty text has no words. Items without words,
-    a text or an id are no patterns; an empty benchmark hits nothing. Repeated documents and items are
-    treated row by row, other columns are ignored.
+    of items with a window that occurs, in order. A null or empty text has no words. Items without words
+    or a text are no patterns; the windows of an item without an id hit, but name no item. An empty
+    benchmark hits nothing. Repeated documents and items are treated row by row, other columns are ignored.
     """
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for handle in _handles(benchmark, chunk_bytes):
-        out = out.mapInArrow(_pass(handle), FOUND)
-    return out
+    first, *others = _handles(benchmark, max_nodes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = F.lit(None).cast("array<struct<hits:array<bigint>,items:array<bigint>>>")
+    if not others:
+        return rows.select("doc_id", "text", found.alias("found")).mapInArrow(_pass(first), FOUND)
+    # equal texts have equal hits, so a hash of the text finds them again
+    texts, parts = rows.select(F.xxhash64("text").alias("key"), "text"), []
+    for handle in others:
+        part = texts.mapInArrow(_partial_pass(handle), "key long, hits array<long>, items array<long>").dropDuplicates(["key"])
+        parts.append(part.select("key", F.struct("hits", "items").alias("f")))
+    hit = cut(functools.reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.collect_list("f").alias("found")))
+    joined = rows.withColumn("of", F.xxhash64("text")).join(small(hit), F.col("of") == F.col("key"), "left")
+    return joined.select("doc_id", "text", "found").mapInArrow(_pass(first), FOUND)
 
 
 def spans(text: str | None, hits: list[int]) -> list[tuple[int, int]]:
@@ -211,18 +236,24 @@ def verdicts(scanned: DataFrame) -> DataFrame:
     )
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of an item occurs."""
+def clean_documents(docs: DataFrame, benchmark: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """The rows of ``docs``, with all their columns whatever their names, in which no window of an item occurs.
+
+    Rows with a null or empty text stay, repeated rows are treated one by one, an empty benchmark takes
+    nothing away and an empty table stays empty.
+    """
     out, at = docs, docs.columns.index("text")
-    for handle in _handles(benchmark, chunk_bytes):
+    for handle in _handles(benchmark, max_nodes):
 
         def run(batches, handle=handle):
             automaton = None
             for batch in batches:
                 automaton = automaton or _automaton(handle)
-                keep = [not _scan(t, automaton)[1] for t in batch.column(at).to_pylist()]
+                keep = [not _scan(t.as_py(), automaton)[1] for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
+        if out is not docs:  # one automaton at a time in a worker
+            out = cut(out)
         out = out.mapInArrow(run, docs.schema)
     return out
 
