@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 FLAGS = "(?dU)"
 SPACE = r"[\s\x1c-\x1f]"
+#: White space within a line.
+BLANK = r"[\s\x1c-\x1f&&[^\n]]"
 
 # What a runner adds to the lines of a log.
 ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
@@ -29,6 +31,11 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(FLAGS + pattern), F.lit(by))
 
 
+def lines_replaced(text: Column, pattern: str, by: str) -> Column:
+    """Replaces in every line of a text; the pattern must not match a line feed."""
+    return F.regexp_replace(text, F.lit("(?m)" + FLAGS + pattern), F.lit(by))
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return replaced(text, rf"^{SPACE}+|{SPACE}+\z", "")
@@ -51,12 +58,24 @@ def clean_line(line: Column) -> Column:
     return replaced(last_frame(strip_timestamp(strip_ansi(line))), rf"{SPACE}+\z", "")
 
 
+def clean_text(text: Column) -> Column:
+    """A whole log with every line cleaned, without empty lines at its end: the steps of ``clean_line`` over all lines at once."""
+    raw = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    plain = F.when(raw.contains("\x1b"), replaced(raw, ANSI, "")).otherwise(raw)
+    unstamped = lines_replaced(plain, STAMP, "")
+    framed = F.when(unstamped.contains("\r"), lines_replaced(unstamped, r"^.*\r", "")).otherwise(unstamped)
+    # from the first blank of a run, so that no run is looked at twice
+    return F.rtrim(lines_replaced(framed, rf"(?<!{BLANK}){BLANK}++$", ""), F.lit("\n"))
+
+
+def lines_of(clean: Column) -> Column:
+    """The lines of a cleaned log; an empty one has none."""
+    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, "\n", -1))
+
+
 def clean_lines(text: Column) -> Column:
     """The clean lines of a log, without empty ones at its end. A null log has none."""
-    raw = F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    lines = F.transform(raw, clean_line)
-    filled = lambda ls: F.coalesce(F.array_max(F.transform(ls, lambda x, i: F.when(x != "", i + 1))), F.lit(0))
-    return F.transform(F.array(lines), lambda ls: F.slice(ls, F.lit(1), filled(ls)))[0]
+    return F.transform(F.array(clean_text(text)), lines_of)[0]
 
 
 def universal_newlines(text: Column) -> Column:
@@ -64,23 +83,68 @@ def universal_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+@functools.lru_cache(maxsize=None)
+def hints(pattern: str) -> tuple[str, ...] | None:
+    """Strings one of which is in every text that matches, or None if the pattern does not tell.
+
+    Of each alternative the longest run of plain characters is taken.
+    """
+    from re import _constants as op
+    from re import _parser
+
+    def runs(items) -> list[list[str]]:
+        """For each alternative its runs of plain characters."""
+        out: list[list[str]] = [[""]]
+        for kind, value in items:
+            if kind is op.LITERAL:
+                for r in out:
+                    r[-1] += chr(value)
+            elif kind is op.BRANCH:
+                inner = [x for branch in value[1] for x in runs(branch)]
+                out = [[*r, *x, ""] for r in out for x in inner]
+            elif kind is op.SUBPATTERN:
+                inner = runs(value[3])
+                out = [[*r, *x, ""] for r in out for x in inner]
+            elif kind is op.MAX_REPEAT and value[0] > 0:
+                inner = runs(value[2])
+                out = [[*r, *x, ""] for r in out for x in inner]
+            elif kind is not op.AT:
+                for r in out:
+                    r.append("")
+        return out
+
+    best = [max(r, key=len) for r in runs(_parser.parse(pattern))]
+    return None if min(map(len, best)) < 3 else tuple(dict.fromkeys(best))
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """A cheap condition that every text with a match meets, or None."""
+    found = hints(pattern)
+    return None if found is None else functools.reduce(lambda a, b: a | b, [text.contains(h) for h in found])
+
+
+def matches_line(line: Column, pattern: str) -> Column:
+    """As ``matches``; the expression is tried only on lines that hold what it needs."""
+    may = may_match(line, pattern)
+    return matches(line, pattern) if may is None else may & matches(line, pattern)
+
+
 def indices(lines: Column, pattern: str) -> Column:
     """0-based numbers of the lines that match."""
-    hits = F.transform(lines, lambda x, i: F.when(matches(x, pattern), i))
+    hits = F.transform(lines, lambda x, i: F.when(matches_line(x, pattern), i))
     return F.filter(hits, lambda i: i.isNotNull())
 
 
 def sections(lines: Column) -> Column:
     """array of (name, start, end) of the groups: each ends with its end marker, before the next group, or at the end."""
-    marks = F.filter(
-        F.transform(
-            lines,
-            lambda x, i: F.when(matches(x, GROUP), F.struct(i.alias("at"), F.lit(True).alias("opens"), F.regexp_extract(x, FLAGS + GROUP, 1).alias("name"))).when(
-                matches(x, END_GROUP), F.struct(i.alias("at"), F.lit(False).alias("opens"), F.lit("").alias("name"))
-            ),
-        ),
-        lambda m: m.isNotNull(),
-    )
+
+    def mark(x: Column, i: Column) -> Column:
+        name = trimmed(F.regexp_extract(x, FLAGS + GROUP, 1))
+        opened = F.struct(i.alias("at"), F.lit(True).alias("opens"), name.alias("name"))
+        closed = F.struct(i.alias("at"), F.lit(False).alias("opens"), F.lit("").alias("name"))
+        return F.when(~x.startswith("##["), None).when(matches(x, GROUP), opened).when(matches(x, END_GROUP), closed)
+
+    marks = F.filter(F.transform(lines, mark), lambda m: m.isNotNull())
     return F.transform(F.array(marks), lambda ms: _spans(ms, F.size(lines)))[0]
 
 

@@ -1,29 +1,54 @@
 """Grouping failures: equal fingerprints first, then similar ones that agree in what must agree.
 
-Only fingerprints of one category and one set of discriminators are compared, and only in groups of up to
-``MAX_BUCKET``; the comparison is the one step that needs Python.
+Fingerprints of one category and one set of discriminators form a bucket. The pairs of a bucket, smaller
+digest first, are a join of the fingerprints with themselves; pairs whose letter counts already tell that
+they are too different fall away in the join, the rest are compared in batches, and groups are the
+components of the similar pairs. Buckets are compared up to ``MAX_BUCKET`` fingerprints, as published;
+``max_bucket=None`` compares all of them.
 """
 
 from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from stratalog.scratch import cut
 
 # The threshold and the size beyond which a bucket is left as it is.
 THRESHOLD, MAX_BUCKET = 0.88, 60
+BUCKET = ["category", "discriminators"]
 
 
-def similarity(left: str, right: str, cutoff: float = 0.0) -> float:
-    """Ratcliff-Obershelp ratio; an upper bound below ``cutoff`` is returned as it is."""
-    pair = difflib.SequenceMatcher(None, left, right, autojunk=False)
-    for bound in (pair.real_quick_ratio, pair.quick_ratio):
-        if (value := bound()) < cutoff:
-            return value
-    return pair.ratio()
+def ratio(left: str, right: str) -> float:
+    """Ratcliff-Obershelp similarity: twice the matching characters over all characters."""
+    return difflib.SequenceMatcher(a=left, b=right, autojunk=False).ratio()
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio(left, right):
+    import pandas as pd
+
+    return pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)])
+
+
+def _letters(text: Column) -> Column:
+    """How often each character is in a text, as a map."""
+    sorted_chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    kinds = F.array_distinct(sorted_chars)
+    count = lambda cs, c: F.size(cs) - F.size(F.array_remove(cs, c))
+    return F.map_from_arrays(kinds, F.transform(kinds, lambda c: count(sorted_chars, c)))
+
+
+def _most_alike(left: Column, right: Column, n: Column) -> Column:
+    """The similarity that two texts could have by their letters alone; ``n`` is their length together."""
+    shared = F.aggregate(
+        F.map_entries(left), F.lit(0).cast("long"), lambda s, e: s + F.least(e["value"], F.coalesce(F.element_at(right, e["key"]), F.lit(0)))
+    )
+    return F.when(n == 0, 1.0).otherwise(2.0 * shared / n)
 
 
 def fingerprints(failures: DataFrame) -> DataFrame:
@@ -36,39 +61,58 @@ def fingerprints(failures: DataFrame) -> DataFrame:
     )
 
 
-def merge_similar(prints: DataFrame, threshold: float = THRESHOLD, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, max_bucket: int | None = MAX_BUCKET) -> DataFrame:
+    """(a, b, similarity): pairs of digests of a bucket, a < b, that are similar enough."""
+    whole = Window.partitionBy(*BUCKET)
+    rows = prints if max_bucket is None else prints.withColumn("of", F.count(F.lit(1)).over(whole)).where(F.col("of") <= max_bucket)
+    # null-safe, as one value: the bucket is then a plain key of the join
+    bucket = F.sha2(F.to_json(F.struct(*BUCKET)), 256)
+    slim = cut(rows.select(bucket.alias("bucket"), "digest", "normalised", F.char_length("normalised").alias("n"), _letters(F.col("normalised")).alias("letters")))
+    l, r = slim.alias("l"), slim.alias("r")
+    n = F.col("l.n") + F.col("r.n")
+    near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.digest") < F.col("r.digest"))
+    near = near & (2 * F.least("l.n", "r.n") >= threshold * n) & (_most_alike(F.col("l.letters"), F.col("r.letters"), n) >= threshold)
+    pairs = l.join(r, near).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"), _ratio("l.normalised", "r.normalised").alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold)
+
+
+def smallest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(digest, cluster_id): the smallest digest that the links (a, b) reach from each digest of ``nodes``.
+
+    Every round each digest takes the smallest label among itself and its neighbours, and then the label of
+    that label, so a chain is halved in every round.
+    """
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    label = cut(nodes.select("digest", F.col("digest").alias("cluster_id")))
+    while not both.isEmpty():
+        offered = both.join(label, F.col("b") == F.col("digest")).groupBy("a").agg(F.min("cluster_id").alias("near"))
+        lower = label.join(offered, F.col("digest") == F.col("a"), "left").select("digest", F.least("cluster_id", "near").alias("low"), F.col("cluster_id").alias("was"))
+        of = label.select(F.col("digest").alias("d"), F.col("cluster_id").alias("next"))
+        found = cut(lower.join(of, F.col("low") == F.col("d")).select("digest", F.least("low", "next").alias("cluster_id"), "was"))
+        label = found.select("digest", "cluster_id")
+        if found.where("cluster_id <> was").isEmpty():
+            break
+    return label
+
+
+def merge_similar(prints: DataFrame, threshold: float = THRESHOLD, max_bucket: int | None = MAX_BUCKET) -> DataFrame:
     """(digest, cluster_id): the smallest digest that links of similarity reach inside a bucket."""
-    bucket = ["category", "discriminators"]
-    sizes = prints.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
-    tagged = prints.join(sizes, bucket)
-    compared = tagged.where(F.col("n").between(2, max_bucket))
-    alone = tagged.where(~F.col("n").between(2, max_bucket)).select("digest", F.col("digest").alias("cluster_id"))
-
-    def merged(group):
-        rows = sorted(zip(group["digest"], group["normalised"], strict=True))
-        root = {d: d for d, _ in rows}
-
-        def top(d):
-            while root[d] != d:
-                root[d] = root[root[d]]
-                d = root[d]
-            return d
-
-        for i, (a, text) in enumerate(rows):
-            for b, other in rows[i + 1 :]:
-                x, y = top(a), top(b)
-                if x != y and similarity(text, other, threshold) >= threshold:
-                    root[max(x, y)] = min(x, y)
-        return group[["digest"]].assign(cluster_id=[top(d) for d in group["digest"]])
-
-    key = F.sha2(F.concat_ws("\x1f", "category", F.array_join("discriminators", "\x1e")), 256)
-    done = compared.select("digest", "normalised", key.alias("bucket")).groupBy("bucket").applyInPandas(merged, "digest string, cluster_id string")
-    return alone.unionByName(done)
+    return smallest_reachable(prints, similar_pairs(prints, threshold, max_bucket))
+
+
+#: Digests with more failures than this are named by broadcast, so that none is gathered in one task.
+OFTEN, MOST_OFTEN = 1000, 10_000
 
 
 def clustered(failures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``cluster_id`` and ``first_ord`` (place of the digest's first failure) to fingerprinted failures."""
     failures = cut(failures)  # extraction and hash are costly and needed twice
-    prints = fingerprints(failures)
+    prints = cut(fingerprints(failures))
     ids = merge_similar(prints, threshold).join(prints.select("digest", "first_ord"), "digest")
-    return failures.join(ids, "digest")
+    counts = failures.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"))
+    bound = max(OFTEN, failures.count() // MOST_OFTEN)  # so many digests at most are above it
+    named = cut(ids.join(counts, "digest"))
+    often, seldom = (named.where(c).drop("rows") for c in (F.col("rows") > bound, F.col("rows") <= bound))
+    hot = failures.join(F.broadcast(often), "digest")
+    rest = failures.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(seldom, "digest")
+    return hot.unionByName(rest)

@@ -1,9 +1,10 @@
 """Finding the span of a log that explains its failure.
 
 Everything is row-local: the lines of a log are an array, the marks of a rule are arrays of line numbers,
-and spans are built by higher-order functions, so a log is never shuffled. A rule with any anchor yields a
-span, so the best span is among the rules of the heaviest weight that fires: rules are tried in order of
-weight and lighter ones are not evaluated.
+and spans are built by higher-order functions, so a log is never shuffled but to deal a small input out to
+all cores. A rule with any anchor yields a span, so the best span is among the rules of the heaviest weight
+that fires: rules are tried in order of weight and lighter ones are not evaluated. A rule's expression is
+tried only where the log, and then the line, holds a string that every match of it has.
 """
 
 from __future__ import annotations
@@ -24,8 +25,15 @@ def _once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def rule_spans(rule: Rule, lines: Column, sections: Column) -> Column:
-    """All spans of a rule as (start, end, anchor): greedy from the top, anchors inside an earlier span skipped."""
+SPANS = "array<struct<start:int,end:int,anchor:int>>"
+
+
+def anchor_spans(rule: Rule, lines: Column, sections: Column) -> Column:
+    """The span around each anchor of a rule as (start, end, anchor), whether or not it lies in an earlier one.
+
+    It starts at the nearest open mark before the anchor and ends at the next close mark, where the rule has
+    them and they are near enough, else a fixed number of lines away; it never leaves the anchor's section.
+    """
     none = F.array().cast("array<int>")
     marks = F.struct(
         logtext.indices(lines, rule.anchor).alias("anchors"),
@@ -45,8 +53,12 @@ def rule_spans(rule: Rule, lines: Column, sections: Column) -> Column:
         end = F.when(closed.isNotNull(), last).otherwise(plain_end) if rule.close else plain_end
         return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), at.cast("int").alias("anchor"))
 
-    kept_type = "array<struct<start:int,end:int,anchor:int>>"
-    zero = F.struct(F.lit(-1).alias("until"), F.array().cast(kept_type).alias("kept"))
+    return _once(marks, lambda m: F.transform(m["anchors"], lambda a: span(m, a)))
+
+
+def rule_spans(rule: Rule, lines: Column, sections: Column) -> Column:
+    """All spans of a rule as (start, end, anchor): greedy from the top, anchors inside an earlier span skipped."""
+    zero = F.struct(F.lit(-1).alias("until"), F.array().cast(SPANS).alias("kept"))
 
     def keep(state: Column, s: Column) -> Column:
         free = s["anchor"] > state["until"]
@@ -55,13 +67,13 @@ def rule_spans(rule: Rule, lines: Column, sections: Column) -> Column:
             F.when(free, F.array_append(state["kept"], s)).otherwise(state["kept"]).alias("kept"),
         )
 
-    return _once(marks, lambda m: F.aggregate(F.transform(m["anchors"], lambda a: span(m, a)), zero, keep, lambda s: s["kept"]))
+    return F.aggregate(anchor_spans(rule, lines, sections), zero, keep, lambda s: s["kept"])
 
 
 def _described(rule: Rule, s: Column, lines: Column) -> Column:
     body = F.slice(lines, s["start"] + 1, s["end"] - s["start"] + 1)
     anchor = F.get(lines, s["anchor"])
-    told = F.get(F.filter(body, lambda x: logtext.matches(x, rule.summary)), F.lit(0)) if rule.summary else F.lit(None).cast("string")
+    told = F.get(F.filter(body, lambda x: logtext.matches_line(x, rule.summary)), F.lit(0)) if rule.summary else F.lit(None).cast("string")
     return F.struct(
         F.lit(rule.name).alias("rule"),
         F.lit(rule.category).alias("category"),
@@ -73,12 +85,12 @@ def _described(rule: Rule, s: Column, lines: Column) -> Column:
     )
 
 
-def candidates(lines: Column, sections: Column, rules=RULES) -> Column:
+def candidates(lines: Column, sections: Column, rules=RULES, spans=rule_spans) -> Column:
     """Spans of all rules as (rule, start, end, anchor), in order of rules and anchors."""
 
     def named(rule: Rule) -> Column:
         return F.transform(
-            rule_spans(rule, lines, sections),
+            spans(rule, lines, sections),
             lambda s: F.struct(F.lit(rule.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["anchor"].alias("anchor")),
         )
 
@@ -113,33 +125,34 @@ def tail(lines: Column, exit_code: Column) -> Column:
         first, last = F.get(at, F.greatest(F.lit(0), F.size(at) - TAIL_LINES)), F.get(at, F.size(at) - 1)
         first, last = F.coalesce(first, F.lit(0)), F.coalesce(last, F.size(lines) - 1)
         code = F.when(exit_code.isNotNull(), F.concat(F.lit(" (exit code "), exit_code.cast("string"), F.lit(")"))).otherwise("")
+        # fixed value: the words of the summary
+        told = F.concat(F.lit("no rule matched, showing the tail"), code)
         return F.struct(
             F.lit(TAIL_RULE).alias("rule"),
             F.lit("unknown").alias("category"),
             F.lit(0).alias("weight"),
             first.cast("int").alias("start_line"),
             last.cast("int").alias("end_line"),
-            F.concat(F.lit("no rule matched; tail of the log"), code).alias("summary"),
+            told.alias("summary"),
             F.slice(lines, first + 1, last - first + 1).alias("lines"),
         )
 
     return _once(filled, span)
 
 
-def _fires(lines: Column, rules: list[Rule]) -> Column:
-    pattern = "|".join(f"(?:{r.anchor})" for r in rules)
-    return F.exists(lines, lambda x: logtext.matches(x, pattern))
+def _fires(clean: Column, lines: Column, rules: list[Rule]) -> Column:
+    """Whether any rule has an anchor among the lines of the cleaned log."""
 
+    def fires(rule: Rule) -> Column:
+        may = logtext.may_match(clean, rule.anchor)
+        found = F.exists(lines, lambda x: logtext.matches_line(x, rule.anchor))
+        return found if may is None else may & found
 
-def marked(lines: Column) -> Column:
-    """The lines that are an anchor of any rule: one scan, so that few lines are tried against each rule."""
-    pattern = "|".join(f"(?:{r.anchor})" for r in RULES)
-    return F.filter(lines, lambda x: logtext.matches(x, pattern))
+    return functools.reduce(lambda a, b: a | b, map(fires, rules))
 
 
-def best_span(lines: Column, sections: Column, exit_code: Column, marks: Column | None = None) -> Column:
-    """The span that explains the failure, as a struct ``SPAN``; ``marks`` are the ``marked`` lines if known."""
-    marks = lines if marks is None else marks
+def best_span(clean: Column, lines: Column, sections: Column, exit_code: Column) -> Column:
+    """The span that explains the failure, as a struct ``SPAN``; ``lines`` are those of the cleaned log ``clean``."""
     empty = F.struct(
         F.lit(TAIL_RULE).alias("rule"), F.lit("unknown").alias("category"), F.lit(0).alias("weight"), F.lit(0).alias("start_line"),
         F.lit(0).alias("end_line"), F.lit("empty log").alias("summary"), F.array().cast("array<string>").alias("lines"),
@@ -148,7 +161,7 @@ def best_span(lines: Column, sections: Column, exit_code: Column, marks: Column
     ordered = sorted(RULES, key=lambda r: -r.weight)
     for _, same in itertools.groupby(ordered, key=lambda r: r.weight):
         group = list(same)
-        out = out.when(_fires(marks, group), _best_of(group, lines, sections).cast(SPAN))
+        out = out.when(_fires(clean, lines, group), _best_of(group, lines, sections).cast(SPAN))
     return out.otherwise(tail(lines, exit_code).cast(SPAN))
 
 
@@ -162,23 +175,36 @@ def computed(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.drop(*columns).select("*", made)
 
 
+#: An input below so many bytes for each core is dealt out: a file's row group is read by one task.
+SMALL_SHARE = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows of a small input dealt to all cores; a large one comes in enough parts by itself."""
+    if rows.isStreaming:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < SMALL_SHARE * cores else rows
+
+
 def with_lines(logs: DataFrame, log: str = "log") -> DataFrame:
-    """Adds ``lines`` and ``sections`` of a log."""
-    cleaned = computed(logs, lines=logtext.clean_lines(F.col(log)))
-    return computed(cleaned, sections=logtext.sections(F.col("lines")))
+    """Adds ``clean``, the cleaned log, its ``lines`` and ``sections``."""
+    cleaned = computed(spread(logs), clean=logtext.clean_text(F.col(log)))
+    split = computed(cleaned, lines=logtext.lines_of(F.col("clean")))
+    none = F.array().cast("array<struct<name:string,start:int,end:int>>")
+    return computed(split, sections=F.when(F.col("clean").contains("##[group]"), logtext.sections(F.col("lines"))).otherwise(none))
 
 
 @functools.lru_cache(maxsize=8)
 def _expressions(application: str) -> dict[str, Column]:
     """The large expressions on columns of fixed names; building them takes longer than running a small query."""
-    lines, sections = F.col("lines"), F.col("sections")
-    text = F.col("normalised")
+    clean, lines, sections = F.col("clean"), F.col("lines"), F.col("sections")
     return {
-        "marks": marked(lines),
-        "coded": best_span(lines, sections, F.col("exit_code"), F.col("marks")),
-        "plain": best_span(lines, sections, F.lit(None).cast("int"), F.col("marks")),
+        "coded": best_span(clean, lines, sections, F.col("exit_code")),
+        "plain": best_span(clean, lines, sections, F.lit(None).cast("int")),
         "normalised": logtext.normalise(F.col("span.lines")),
-        "discriminators": logtext.discriminators(text),
+        "discriminators": logtext.discriminators(F.col("normalised")),
     }
 
 
@@ -190,8 +216,7 @@ def extract(logs: DataFrame, log: str = "log", exit_code: str | None = "exit_cod
     """Adds ``span``; every log gets one."""
     rows = logs if exit_code in (None, "exit_code") else logs.withColumn("exit_code", F.col(exit_code))
     found = with_lines(rows, log)
-    found = computed(found, marks=_expression(rows, "marks"))
-    return computed(found, span=_expression(rows, "coded" if exit_code else "plain")).drop("lines", "sections", "marks")
+    return computed(found, span=_expression(rows, "coded" if exit_code else "plain")).drop("clean", "lines", "sections")
 
 
 def normalised(spans: DataFrame) -> DataFrame:

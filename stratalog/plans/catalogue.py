@@ -9,7 +9,7 @@ from stratalog.functions import logtext
 from stratalog.functions import runs as R
 from stratalog.functions.rules import RULES
 from stratalog.operators import clustering, cost, evidence, extraction
-from stratalog.plans.tables import LOGS_SQL, NOISY_SQL, RUNS_SQL, ci_logs, ci_runs, noisy_logs, read
+from stratalog.plans.tables import BLANKS, LOGS_SQL, MARKED_SQL, NOISY_SQL, RUNS_SQL, ci_logs, ci_runs, marked_logs, noisy_logs, read
 from stratalog.sources import api, manifest
 
 _QUERIES: dict = {}
@@ -57,6 +57,11 @@ def runner_multiplier(spark, sf_dir):
     return ci_runs(spark, sf_dir).select("run_id", R.runner_multiplier(F.col("runner")).alias("multiplier"))
 
 
+@_query(RUNS_SQL + "SELECT run_id, wall_micros, billable_micros, wall_micros / 1e6 AS wall_seconds FROM runs")
+def run_cost(spark, sf_dir):
+    return _runs(spark, sf_dir).select("run_id", "wall_micros", "billable_micros", cost.seconds(F.col("wall_micros")).alias("wall_seconds"))
+
+
 @_query(RUNS_SQL + "SELECT run_id, conclusion, wall_micros, billable_micros FROM failures")
 def failed_filter(spark, sf_dir):
     return _failures(spark, sf_dir).select("run_id", "conclusion", "wall_micros", "billable_micros")
@@ -137,7 +142,7 @@ def seen_and_jobs(spark, sf_dir):
 _JUDGED_SQL = (
     RUNS_SQL
     + """, judged AS (
-  SELECT f.run_id, f.actor, f.commit, max(p.started_at) FILTER (p.conclusion = 'success') AS passed_at,
+  SELECT f.run_id, f.actor, f.job, f.commit, max(p.started_at) FILTER (p.conclusion = 'success') AS passed_at,
          arg_max(p.run_id, p.started_at) FILTER (p.conclusion = 'success') AS pass,
          string_agg(p.run_id || '#1', ',' ORDER BY p.run_id || '#1') FILTER (p.conclusion <> 'success') AS again
   FROM failures f LEFT JOIN runs p ON f.commit = p.commit AND f.job = p.job AND f.run_id <> p.run_id GROUP BY ALL),
@@ -154,11 +159,23 @@ def _judged(spark, sf_dir):
 @_query(
     _JUDGED_SQL
     + """SELECT run_id, verdict, CASE verdict WHEN 'flaky' THEN pass || '#1' WHEN 'deterministic' THEN again ELSE '' END AS proof,
-       CASE verdict WHEN 'flaky' THEN 'another run of the same job on ' || left(commit, 8) || ' passed'
-         WHEN 'deterministic' THEN 'every other run of the job on ' || left(commit, 8) || ' failed' ELSE 'the job ran once on ' || left(commit, 8) END AS reason FROM verdicts"""
+       CASE verdict WHEN 'flaky' THEN 'another run of ' || job || ' on ' || left(commit, 8) || ' passed unchanged'
+         WHEN 'deterministic' THEN job || ' failed again on ' || left(commit, 8) || ' without a change'
+         ELSE left(commit, 8) || ' was never re-run, so nothing proves either way' END AS reason FROM verdicts"""
 )
 def classify_runs(spark, sf_dir):
-    return _judged(spark, sf_dir).select("run_id", "verdict", F.array_join("proof", ",").alias("proof"), "reason")
+    judged = evidence.with_proof(_judged(spark, sf_dir), _runs(spark, sf_dir))
+    return judged.select("run_id", "verdict", F.array_join("proof", ",").alias("proof"), "reason")
+
+
+@_query(
+    RUNS_SQL
+    + """SELECT f.ord, count(*) AS peers, count(*) FILTER (p.conclusion = 'success') AS passed, min(p.run_id || '#1') AS first_peer
+       FROM failures f JOIN runs p ON f.commit = p.commit AND f.job = p.job AND f.run_id <> p.run_id GROUP BY f.ord"""
+)
+def outcome_peers(spark, sf_dir):
+    found = evidence.peers(_failures(spark, sf_dir), _runs(spark, sf_dir))
+    return found.groupBy("ord").agg(F.count(F.lit(1)).alias("peers"), F.count_if("passed").alias("passed"), F.min("peer").alias("first_peer"))
 
 
 @_query(_JUDGED_SQL + "SELECT verdict, count(*) AS n FROM verdicts GROUP BY verdict")
@@ -229,9 +246,9 @@ def clean_log(spark, sf_dir):
     return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("cleaned"))
 
 
-@_query(LOGS_SQL + "SELECT doc_id, 'Run step' AS name, 0 AS first_line, cast(anchor0 + 1 AS int) AS last_line FROM placed")
+@_query(MARKED_SQL + "SELECT doc_id, name, cast(first_line AS int) AS first_line, cast(last_line AS int) AS last_line FROM groups")
 def sections(spark, sf_dir):
-    found = extraction.with_lines(ci_logs(spark, sf_dir)).select("doc_id", F.explode("sections").alias("s"))
+    found = extraction.with_lines(marked_logs(spark, sf_dir)).select("doc_id", F.explode("sections").alias("s"))
     return found.select("doc_id", "s.name", F.col("s.start").alias("first_line"), F.col("s.end").alias("last_line"))
 
 
@@ -261,6 +278,82 @@ def _matcher(pattern: str):
     return lambda line: logtext.matches(line, pattern)
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _like_sql(pattern: str) -> str:
+    """A condition on the line ``x`` in DuckDB's expressions, which know no lookahead: it becomes a condition of its own."""
+    if "(?!" not in pattern:
+        return f"regexp_matches(x, {_quote(pattern)})"
+    if pattern.startswith(r"^(?!"):
+        return r"NOT regexp_matches(x, '^\s*(at |\.\.\.|Caused by:|Suppressed:)') AND regexp_matches(x, '^\S')"
+    before, rest = pattern.split("(?!", 1)
+    never, after = rest.split(")", 1)
+    return f"regexp_matches(x, {_quote(before + after)}) AND NOT regexp_matches(x, {_quote(before + never)})"
+
+
+def _hits_sql(rules) -> str:
+    """anchors(doc_id, rule, anchor, start_line, end_line) of the rules on the marked logs, by joins of line numbers."""
+    parts = []
+    for r in rules:
+        opens = f"SELECT max(o.i) FROM lines o WHERE o.doc_id = a.doc_id AND o.i <= a.anchor AND o.i >= greatest(a.floor, a.anchor - {r.max_back}) AND ({_like_sql(r.open).replace('(x,', '(o.x,')})" if r.open else "NULL"
+        closes = f"SELECT min(c.i) FROM lines c WHERE c.doc_id = a.doc_id AND c.i > a.anchor AND c.i <= least(a.ceiling, a.anchor + {r.max_forward}) AND ({_like_sql(r.close).replace('(x,', '(c.x,')})" if r.close else "NULL"
+        closed = "closed" if r.close_inclusive else "greatest(anchor, closed - 1)"
+        parts.append(
+            f"""SELECT doc_id, '{r.name}' AS rule, anchor, coalesce(opened, greatest(floor, anchor - {r.before})) AS start_line,
+  coalesce({closed}, least(ceiling, anchor + {r.after})) AS end_line
+  FROM (SELECT a.*, ({opens}) AS opened, ({closes}) AS closed FROM (
+    SELECT l.doc_id, l.i AS anchor, coalesce(g.first_line, 0) AS floor, coalesce(g.last_line, l.n - 1) AS ceiling
+    FROM lines l LEFT JOIN groups g ON l.doc_id = g.doc_id AND l.i BETWEEN g.first_line AND g.last_line WHERE {_like_sql(r.anchor).replace('(x,', '(l.x,')}) a)"""
+        )
+    return MARKED_SQL + ", anchors AS (" + "\nUNION ALL ".join(parts) + ")\n"
+
+
+@_query(_hits_sql(RULES) + "SELECT rule, doc_id, count(*) AS n, cast(min(anchor) AS int) AS first_anchor FROM anchors GROUP BY ALL")
+def rule_hits(spark, sf_dir):
+    logs = extraction.with_lines(marked_logs(spark, sf_dir))
+    marks = [F.transform(logtext.indices(F.col("lines"), r.anchor), lambda i, r=r: F.struct(F.lit(r.name).alias("rule"), i.alias("i"))) for r in RULES]
+    found = logs.select("doc_id", F.explode(F.flatten(F.array(*marks))).alias("m"))
+    return found.groupBy("m.rule", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("m.i").alias("first_anchor"))
+
+
+_OPENING = [r for r in RULES if r.open]
+_CLOSING = [r for r in RULES if r.close]
+
+
+def _anchored(spark, sf_dir, rules):
+    logs = extraction.with_lines(marked_logs(spark, sf_dir))
+    found = extraction.candidates(F.col("lines"), F.col("sections"), rules, extraction.anchor_spans)
+    return logs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.rule", "c.anchor", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"))
+
+
+@_query(_hits_sql(_OPENING) + "SELECT doc_id, rule, cast(anchor AS int) AS anchor, cast(start_line AS int) AS start_line FROM anchors")
+def scan_back(spark, sf_dir):
+    return _anchored(spark, sf_dir, _OPENING).drop("end_line")
+
+
+@_query(_hits_sql(_CLOSING) + "SELECT doc_id, rule, cast(anchor AS int) AS anchor, cast(end_line AS int) AS end_line FROM anchors")
+def scan_forward(spark, sf_dir):
+    return _anchored(spark, sf_dir, _CLOSING).drop("start_line")
+
+
+@_query(
+    _hits_sql(RULES).replace("WITH blocks", "WITH RECURSIVE blocks", 1)
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rule ORDER BY anchor) AS k FROM anchors),
+walk AS (
+  SELECT doc_id, rule, k, start_line, end_line, anchor, true AS kept, end_line AS until FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT n.doc_id, n.rule, n.k, n.start_line, n.end_line, n.anchor, n.anchor > w.until, CASE WHEN n.anchor > w.until THEN n.end_line ELSE w.until END
+  FROM walk w JOIN numbered n ON n.doc_id = w.doc_id AND n.rule = w.rule AND n.k = w.k + 1)
+SELECT doc_id, rule, cast(start_line AS int) AS start_line, cast(end_line AS int) AS end_line, cast(anchor AS int) AS anchor FROM walk WHERE kept"""
+)
+def greedy_marked(spark, sf_dir):
+    logs = extraction.with_lines(marked_logs(spark, sf_dir))
+    found = logs.select("doc_id", F.explode(extraction.candidates(F.col("lines"), F.col("sections"))).alias("c"))
+    return found.select("doc_id", "c.rule", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), "c.anchor")
+
+
 @_query(
     LOGS_SQL
     + """SELECT doc_id, rule, category, weight, cast(start_line AS int) AS start_line, cast(end_line AS int) AS end_line,
@@ -273,15 +366,15 @@ def best_span(spark, sf_dir):
 
 
 @_query(
-    """WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g'), chr(10)) AS r FROM documents),
-c AS (SELECT doc_id, list_transform(r, lambda x: regexp_replace(x, '[ \\t\\r\\f\\v]+$', '')) AS a FROM t),
+    f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS r FROM documents),
+c AS (SELECT doc_id, list_transform(r, lambda x: regexp_replace(x, '{BLANKS}+$', '')) AS a FROM t),
 f AS (SELECT doc_id, a, list_filter(list_transform(range(0, len(a)), lambda i: CASE WHEN a[i + 1] <> '' THEN i ELSE -1 END), lambda i: i >= 0) AS filled FROM c)
 SELECT doc_id, CASE WHEN len(filled) = 0 THEN 0 ELSE cast(filled[greatest(1, len(filled) - 24)] AS int) END AS start_line,
        CASE WHEN len(filled) = 0 THEN 0 ELSE cast(filled[len(filled)] AS int) END AS end_line,
-       CASE WHEN len(filled) = 0 THEN 'empty log' ELSE 'no rule matched; tail of the log (exit code 3)' END AS summary FROM f"""
+       CASE WHEN len(filled) = 0 THEN 'empty log' ELSE 'no rule matched, showing the tail (exit code 3)' END AS summary FROM f"""
 )
 def tail_span(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("log"), F.lit(3).alias("exit_code"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("log"), F.lit(3).alias("exit_code"))
     spans = extraction.extract(docs)
     return spans.select("doc_id", "span.start_line", "span.end_line", "span.summary")
 
@@ -348,11 +441,19 @@ def buckets(spark, sf_dir):
     return prints.groupBy(F.col("span.category").alias("category"), "tokens").agg(F.countDistinct("normalised").alias("texts"))
 
 
+def _fingerprinted(spark, sf_dir):
+    return extraction.fingerprinted(extraction.extract(ci_logs(spark, sf_dir), exit_code=None)).withColumn("ord", F.col("doc_id"))
+
+
+@_query()
+def similarity_pairs(spark, sf_dir):
+    """Ratcliff-Obershelp similarity has no SQL form; tests hold it, and what follows from it, against loops."""
+    return clustering.similar_pairs(clustering.fingerprints(_fingerprinted(spark, sf_dir)))
+
+
 @_query()
 def near_dup_clusters(spark, sf_dir):
-    """Ratcliff-Obershelp similarity has no SQL form; tests hold it against brute force."""
-    failures = extraction.fingerprinted(extraction.extract(ci_logs(spark, sf_dir), exit_code=None)).withColumn("ord", F.col("doc_id"))
-    return clustering.clustered(failures).select("doc_id", "digest", "cluster_id")
+    return clustering.clustered(_fingerprinted(spark, sf_dir)).select("doc_id", "digest", "cluster_id")
 
 
 @_query(
@@ -369,10 +470,13 @@ def job_log_select(spark, sf_dir):
 @_query()
 def report_clusters(spark, sf_dir):
     """The whole plan: runs with logs, extraction, clustering, evidence, cost, ranking."""
-    logs = ci_logs(spark, sf_dir).withColumnRenamed("doc_id", "ord")
+    logs = ci_logs(spark, sf_dir)
+    many = logs.count()
+    logs = logs.withColumnRenamed("doc_id", "log_of")
     runs = ci_runs(spark, sf_dir).withColumn("conclusion", R.outcome(F.col("api_conclusion"))).drop("api_conclusion", "category")
     failing = runs.where(R.failed(F.col("conclusion")))
-    with_logs = failing.join(logs, "ord", "left").withColumn("log", F.coalesce("log", F.lit(""))).withColumn("exit_code", F.lit(1))
+    with_logs = failing.join(logs, F.col("ord") % F.lit(max(many, 1)) == F.col("log_of"), "left").drop("log_of")
+    with_logs = with_logs.withColumn("log", F.coalesce("log", F.lit(""))).withColumn("exit_code", F.lit(1))
     spans = extraction.fingerprinted(extraction.extract(cost.priced(with_logs))).drop("log")
     judged = evidence.classify(clustering.clustered(spans), runs)
     found = cost.clusters(judged)

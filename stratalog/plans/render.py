@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from stratalog.operators import cost
-from stratalog.plans.report import Report
+from stratalog.plans.report import Report, proven
 
 VERDICTS = {"deterministic": "reproducible"}
 
@@ -86,7 +86,7 @@ def as_dict(report: Report) -> dict:
     """Everything, as plain values; all clusters whatever their rank."""
     t = report.totals.first()
     members: dict[str, list] = {}
-    for m in report.members.orderBy("cluster_id", "started_at", "first_ord", "ord").select(
+    for m in proven(report).orderBy("cluster_id", "started_at", "first_ord", "ord").select(
         "cluster_id", "run_id", "attempt", "job", "branch", "commit", "actor", "runner", "wall_micros", "billable_micros", "verdict", "reason", "proof"
     ).collect():
         members.setdefault(m.cluster_id, []).append(

@@ -16,6 +16,7 @@ class Report(NamedTuple):
     clusters: DataFrame
     members: DataFrame
     totals: DataFrame
+    runs: DataFrame
 
 
 def failures(runs: DataFrame) -> DataFrame:
@@ -26,9 +27,15 @@ def failures(runs: DataFrame) -> DataFrame:
 
 def analyse(runs: DataFrame, threshold: float = clustering.THRESHOLD) -> Report:
     """Clusters of failures with cost and verdict. ``runs`` hold passing runs too: they are the evidence."""
-    judged = cut(evidence.classify(clustering.clustered(failures(runs), threshold), runs.drop("log")))
+    all_runs = cut(runs.drop("log"))
+    judged = cut(evidence.classify(clustering.clustered(failures(runs), threshold), all_runs))
     found = cost.clusters(judged)
-    return Report(found, judged, cost.totals(cost.priced(runs), found))
+    return Report(found, judged, cost.totals(cost.priced(all_runs), found), all_runs)
+
+
+def proven(report: Report) -> DataFrame:
+    """The members of all clusters with the runs that prove their verdicts."""
+    return evidence.with_proof(report.members, report.runs)
 
 
 def explain(runs: DataFrame, run_id: str, attempt: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STAMPED = "2026-01-01T00:00:00.000Z "
@@ -63,6 +63,9 @@ def ci_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: White space within a line, in the words of DuckDB's expressions.
+BLANKS = r"[ \t\r\f\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 RUNS_SQL = """
 WITH e AS (SELECT *, cast(json_extract_string(props, '$.k') AS int) AS k FROM events),
 runs0 AS (
@@ -78,21 +81,40 @@ failures AS (SELECT * FROM runs WHERE conclusion <> 'success')
 """
 
 
-def _ascii(text):
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "?")
+def _text() -> Column:
+    return F.coalesce("text", F.lit(""))
 
 
 def ci_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, log): a group around the text and a failure line, the exit code line, and what comes after."""
     lines = F.array(*[F.lit(p[0]) for p in PLANTED])
     chosen = F.element_at(lines, (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
-    parts = [F.lit("##[group]Run step\n"), _ascii(F.col("text")), F.lit("\n"), chosen, F.lit(f"\n##[endgroup]\n{EXIT_LINE}\nCleaning up\n")]
+    parts = [F.lit("##[group]Run step\n"), _text(), F.lit("\n"), chosen, F.lit(f"\n##[endgroup]\n{EXIT_LINE}\nCleaning up\n")]
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("log"))
+
+
+#: Blocks of lines with open and close marks, several anchors, or none; chosen by the remainder of the id.
+BLOCKS = (
+    "=== RUN   TestA\nstep one\n--- FAIL: TestA (0.01s)\n    detail\n=== RUN   TestB\nok\n--- FAIL: TestB (0.02s)\nmore\nPASS",
+    "#7 [2/4]\n > [build 2/4] RUN make:\n0.5 cc\nERROR: failed to solve: process\nafter",
+    "npm ERR! code E404\nnpm ERR! 404 gone\nnpm ERR! A complete log of this run can be found in:\nend\nnpm ERR! code E500\nlast",
+    "_______ test_x _______\nassert\nE    AssertionError\nline\n##[group]inner\nE    again",
+    "panic: a\ngoroutine 1\nFAIL\tpkg\npanic: b",
+    "FAILURE: Build failed with an exception.\n> Task\n* Try:\n> more\n##[error]Bad thing",
+    "##[endgroup]\nnothing at all",
+)
+
+
+def marked_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, log): a group that never ends, a group around the text and a block of marks, the text again, an unclosed group."""
+    chosen = F.element_at(F.array(*[F.lit(x) for x in BLOCKS]), (F.col("doc_id") % len(BLOCKS) + 1).cast("int"))
+    parts = [F.lit("##[group]  Set up \t\nready\n##[group]\u00a0Run tests\n"), _text(), F.lit("\n"), chosen, F.lit("\n##[endgroup]  \n"), _text(), F.lit(f"\n{EXIT_LINE}\n##[group]Post")]
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("log"))
 
 
 def noisy_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, log): the text with colours, time stamps and progress marks at every line."""
-    text = F.replace(_ascii(F.col("text")), F.lit("\n"), F.lit(f"\x1b[0m  \n{STAMPED}10%\r60%\r"))
+    text = F.replace(_text(), F.lit("\n"), F.lit(f"\x1b[0m  \n{STAMPED}10%\r60%\r"))
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(f"{STAMPED}\x1b[1;31m"), text, F.lit("\r\n\n \n")).alias("log"))
 
 
@@ -105,10 +127,10 @@ WITH planted AS (SELECT * FROM (VALUES {", ".join(f"({i}, {', '.join(_quoted(x)
   t(i, line, rule, category, weight, before, after, told)),
 logs AS (
   SELECT doc_id, i, line, rule, category, weight, before, after, told,
-         string_split('##[group]Run step' || chr(10) || regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') || chr(10) || line || chr(10)
+         string_split('##[group]Run step' || chr(10) || coalesce(text, '') || chr(10) || line || chr(10)
            || '##[endgroup]' || chr(10) || '{EXIT_LINE}' || chr(10) || 'Cleaning up', chr(10)) AS raw
   FROM documents JOIN planted ON doc_id % {len(PLANTED)} = i),
-clean AS (SELECT *, list_transform(raw, lambda x: regexp_replace(x, '[ \\t\\r\\f\\v]+$', '')) AS lines FROM logs),
+clean AS (SELECT *, list_transform(raw, lambda x: regexp_replace(x, '{BLANKS}+$', '')) AS lines FROM logs),
 placed AS (SELECT *, len(lines) - 1 AS last, len(lines) - 4 AS anchor0 FROM clean),
 spans AS (
   SELECT *, CASE WHEN rule = 'exit-code' THEN last - 1 ELSE anchor0 END AS anchor FROM placed),
@@ -118,11 +140,27 @@ bounded AS (
 """
 NOISY_SQL = f"""
 WITH noisy AS (
-  SELECT doc_id, string_split(replace('{STAMPED}' || chr(27) || '[1;31m' || replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g'), chr(10),
+  SELECT doc_id, string_split(replace('{STAMPED}' || chr(27) || '[1;31m' || replace(coalesce(text, ''), chr(10),
          chr(27) || '[0m  ' || chr(10) || '{STAMPED}10%' || chr(13) || '60%' || chr(13)) || chr(13) || chr(10) || chr(10) || ' ' || chr(10), chr(13) || chr(10), chr(10)), chr(10)) AS raw
   FROM documents),
 ansi AS (SELECT doc_id, list_transform(raw, lambda x: regexp_replace(x, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g')) AS a FROM noisy),
 stamp AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}\\.\\d+Z ?', '')) AS a FROM ansi),
 frame AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '^.*\\r', '')) AS a FROM stamp),
-stripped AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '[ \\t\\r\\f\\v]+$', '')) AS a FROM frame)
+stripped AS (SELECT doc_id, list_transform(a, lambda x: regexp_replace(x, '{BLANKS}+$', '')) AS a FROM frame)
+"""
+MARKED_SQL = f"""
+WITH blocks AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(BLOCKS))}) t(k, block)),
+raw AS (
+  SELECT doc_id, string_split('##[group]  Set up ' || chr(9) || chr(10) || 'ready' || chr(10) || '##[group]' || chr(160) || 'Run tests' || chr(10) || coalesce(text, '') || chr(10)
+         || block || chr(10) || '##[endgroup]  ' || chr(10) || coalesce(text, '') || chr(10) || '{EXIT_LINE}' || chr(10) || '##[group]Post', chr(10)) AS r
+  FROM documents JOIN blocks ON doc_id % {len(BLOCKS)} = k),
+lines AS (
+  SELECT doc_id, i, regexp_replace(x, '{BLANKS}+$', '') AS x, n
+  FROM (SELECT doc_id, unnest(r) AS x, generate_subscripts(r, 1) - 1 AS i, len(r) AS n FROM raw)),
+marks AS (
+  SELECT doc_id, i, n, starts_with(x, '##[group]') AS opens, regexp_replace(regexp_replace(x[10:], '^{BLANKS}+', ''), '{BLANKS}+$', '') AS name
+  FROM lines WHERE starts_with(x, '##[group]') OR x = '##[endgroup]'),
+bounds AS (
+  SELECT doc_id, i AS first_line, opens, name, coalesce(lead(i - opens::int) OVER (PARTITION BY doc_id ORDER BY i), n - 1) AS last_line FROM marks),
+groups AS (SELECT doc_id, name, first_line, last_line FROM bounds WHERE opens)
 """

@@ -1,4 +1,6 @@
 import difflib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalog.functions import logtext
 from stratalog.functions.rules import RULES
 from stratalog.operators import clustering, extraction
+from stratalog.plans.tables import BLOCKS, PLANTED
 
 STAMP = "2026-05-14T09:12:03.1234567Z "
 
@@ -24,6 +27,9 @@ def test_sections(spark):
     text = "##[endgroup]\n##[group]one\nx\n##[endgroup]\ny\n##[group]two\n##[group]three\nz"
     got = column(spark, [text], lambda t: logtext.sections(logtext.clean_lines(t)))[0]
     assert [tuple(s) for s in got] == [("one", 1, 3), ("two", 5, 5), ("three", 6, 7)]
+    text = "##[group]  Run \u00a0 tests\u00a0\nx\n##[group]"
+    got = column(spark, [text], lambda t: logtext.sections(logtext.clean_lines(t)))[0]
+    assert [tuple(s) for s in got] == [("Run \u00a0 tests", 0, 1), ("", 2, 2)]
 
 
 PAIRS_EQUAL = [
@@ -130,8 +136,7 @@ def test_tail_and_empty_logs(spark):
 
 
 def test_similarity_and_merging(spark):
-    assert clustering.similarity("tide", "diet") == difflib.SequenceMatcher(None, "tide", "diet", autojunk=False).ratio()
-    assert clustering.similarity("a" * 10, "a" * 100, 0.9) < 0.9
+    assert clustering.ratio("tide", "diet") == difflib.SequenceMatcher(None, "tide", "diet", autojunk=False).ratio() != clustering.ratio("diet", "tide")
     base = "the quick brown fox jumps over the lazy dog " * 3
     rows = [("d1", base, ["x:1"], "test"), ("d0", base + "!", ["x:1"], "test"), ("d2", base, ["x:2"], "test"), ("d3", base, ["x:1"], "build"), ("d4", "something else", ["x:1"], "test")]
     prints = spark.createDataFrame(rows, "digest string, normalised string, discriminators array<string>, category string")
@@ -139,6 +144,42 @@ def test_similarity_and_merging(spark):
     assert got == {"d0": "d0", "d1": "d0", "d2": "d2", "d3": "d3", "d4": "d4"}
     assert dict(map(tuple, clustering.merge_similar(prints, max_bucket=2).collect()))["d1"] == "d1"
     assert dict(map(tuple, clustering.merge_similar(prints, threshold=0.0).collect()))["d4"] == "d0"
+    assert clustering.merge_similar(prints.limit(0)).count() == 0
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = ["", "x"]
+    for _ in range(12):
+        base = [rng.choice("abcdé ") for _ in range(rng.choice([8, 30, 80]))]
+        for _ in range(5):
+            near = list(base)
+            for _ in range(rng.randint(0, len(base) // 6)):
+                near[rng.randrange(len(near))] = rng.choice("xyz")
+            texts.append("".join(near))
+    rows = [(f"{i:03d}", t, ["k"] if i % 3 else [], "test") for i, t in enumerate(texts)]
+    prints = spark.createDataFrame(rows, "digest string, normalised string, discriminators array<string>, category string")
+    want, root = {}, {r[0]: r[0] for r in rows}
+    for a in rows:
+        for b in rows:
+            r = difflib.SequenceMatcher(None, a[1], b[1], autojunk=False).ratio()
+            if a[0] < b[0] and a[2] == b[2] and r >= 0.88:
+                want[a[0], b[0]] = r
+                low, high = sorted((root[a[0]], root[b[0]]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert {(r.a, r.b): r.similarity for r in clustering.similar_pairs(prints, max_bucket=None).collect()} == want and want
+    assert dict(map(tuple, clustering.merge_similar(prints, max_bucket=None).collect())) == root
+
+
+def test_hints_are_in_every_match():
+    lines = [rule_line for p in PLANTED for rule_line in (p[0], f"x {p[0]} y")] + [x for b in BLOCKS for x in b.split("\n")]
+    lines += ["exit code: 137", "npm error code E1", "504 Gateway Timeout", "write /var/lib/docker/x: no space", "The action 'x' has timed out", "step 12 Killed  "]
+    for rule in RULES:
+        for pattern in (rule.anchor, rule.open, rule.close, rule.summary):
+            for line in lines:
+                if pattern and re.search(pattern, line) and (found := logtext.hints(pattern)):
+                    assert any(h in line for h in found), (pattern, line)
+    assert logtext.hints("a|bcd") is None and logtext.hints("^(?:abcd|xyz)e?f") == ("abcd", "xyz")
 
 
 @pytest.mark.parametrize("seconds,told", [(0, "0s"), (59.4, "59s"), (0.5, "0s"), (1.5, "2s"), (60, "1m"), (150, "2m"), (5399, "90m"), (5400, "1.5h"), (8460, "2.4h"), (8100, "2.2h"), (9900, "2.8h")])

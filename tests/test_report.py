@@ -53,7 +53,7 @@ def test_history_by_hand(spark, tmp_path):
     t = found.totals.first()
     assert (t.runs, t.failed_runs, t.clusters, t.wall_micros, t.billable_micros) == (10, 6, 3, 4140 * 10**6, 28440 * 10**6)
     assert rows["registry-unavailable"].people_blocked == 3 and rows["registry-unavailable"].example.lines[0].startswith("npm")
-    proofs = {(r.run_id, r.attempt): (r.verdict, list(r.proof)) for r in found.members.collect()}
+    proofs = {(r.run_id, r.attempt): (r.verdict, list(r.proof)) for r in report.proven(found).collect()}
     assert proofs["100", 1] == ("deterministic", ["100#2"]) and proofs["200", 1] == ("flaky", ["200#2"]) and proofs["300", 1] == ("unproven", [])
 
 
@@ -126,11 +126,22 @@ def test_evidence_details(spark):
         (4, "3", 1, "b", "failure", 0), (5, "3", 1, "b", "success", 1), (6, "4", 1, "c", "failure", 0), (7, "5", 1, "c", "cancelled", 1),
     ]
     runs = spark.createDataFrame([(*r[:3], "r", "w", r[3], "c0ffee0123", r[4], START + timedelta(minutes=r[5])) for r in rows], "ord long, run_id string, attempt int, repo string, workflow string, job string, commit string, conclusion string, started_at timestamp")
-    got = {r.ord: r for r in evidence.classify(runs.where("conclusion <> 'success'"), runs).collect()}
-    assert list(got[0].proof) == ["2#2"] and got[0].reason.startswith("another run") and "c0ffee01 " in got[0].reason
+    bad = runs.where("conclusion <> 'success'")
+    got = {r.ord: r for r in evidence.with_proof(evidence.classify(bad, runs), runs).collect()}
+    assert list(got[0].proof) == ["2#2"] and got[0].reason == "another run of a on c0ffee01 passed unchanged"
+    assert got[6].reason == "c failed again on c0ffee01 without a change" and got[4].reason.startswith("c0ffee01 was never re-run")
+    listed = {(r.ord, r.peer): r.passed for r in evidence.peers(bad, runs).collect()}
+    assert listed == {(0, "2#1"): True, (0, "2#2"): True, (6, "5#1"): False, (7, "4#1"): False}
     assert got[4].verdict == "unproven" and got[6].verdict == got[7].verdict == "deterministic" and list(got[6].proof) == ["5#1"]
 
 
+def test_null_parts_of_a_commit_meet_their_peers(spark):
+    rows = [(0, "1", 1, None, "failure"), (1, "2", 1, None, "success"), (2, "3", 1, "x", "failure"), (3, "4", None, "x", "failure"), (4, "4", None, "x", "failure")]
+    runs = spark.createDataFrame([(o, i, a, "r", None, "j", c, k, START) for o, i, a, c, k in rows], "ord long, run_id string, attempt int, repo string, workflow string, job string, commit string, conclusion string, started_at timestamp")
+    judged = evidence.classify(runs.where("conclusion <> 'success'"), runs)
+    assert {r.ord: r.verdict for r in judged.collect()} == {0: "flaky", 2: "deterministic", 3: "deterministic", 4: "deterministic"}
+
+
 def test_multiplier_and_negative_duration(spark):
     rows = [("macOS-14", 10), ("WINDOWS-2022", 2), ("ubuntu-22.04", 1), ("self-hosted", 1)]
     runs = spark.createDataFrame([(r, START, START + timedelta(seconds=k * 2 - 3)) for k, (r, _) in enumerate(rows)], "runner string, started_at timestamp, completed_at timestamp")
