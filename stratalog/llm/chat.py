@@ -22,6 +22,8 @@ from stratalog.llm.common import table
 
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+#: Types of parts besides text; a part of any other is drawn as "other", as its name could hold a control string.
+ATTACHED = ("image", "audio", "document")
 #: Tokens of an image patch grid, of a second of audio and of a page of a document.
 PATCH, TOKENS_PER_SECOND, TOKENS_PER_PAGE = 28, 25, 512
 
@@ -72,7 +74,8 @@ def _visited(parts: Column, before: Column) -> Column:
 
     def visit(state: Column, part: Column) -> Column:
         number = state["n"] + F.when(_is_text(part), 0).otherwise(1)
-        placeholder = F.concat(F.lit("<|"), part["type"], F.lit(":"), (before + number).cast("string"), F.lit("|>"))
+        drawn = F.when(part["type"].isin(*ATTACHED), part["type"]).otherwise("other")
+        placeholder = F.concat(F.lit("<|"), drawn, F.lit(":"), (before + number).cast("string"), F.lit("|>"))
         piece = F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder)
         return F.struct(number.cast("long").alias("n"), F.array_append(state["out"], piece).alias("out"))
 
@@ -86,7 +89,7 @@ def format_conversations(messages: DataFrame) -> DataFrame:
     (array of number, type, ref, tokens, turn) and expanded_tokens. Messages are ordered by turn, a null
     turn first; rows that repeat a turn are all kept, ordered by role and content. A null role, text or
     list of parts is empty, parts without a type are text, and part types other than text, image, audio
-    and document are kept as placeholders of one token. A null conv_id is a conversation of its own.
+    and document are drawn as "other", a placeholder of one token, and keep their name in the record. A null conv_id is a conversation of its own.
     Other columns are ignored; an empty table gives an empty result.
     """
     parts = F.coalesce(F.filter(F.col("parts").cast(f"array<{PART}>"), lambda p: p.isNotNull()), F.array().cast(f"array<{PART}>"))

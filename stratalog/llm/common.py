@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from stratalog.scratch import cut, scratch_path, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "column_or_null", "connected_components", "cut", "distributed_rank", "fresh", "join_hot", "rank_buckets", "scratch_path", "shared_dir", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "bounded_batches", "column_or_null", "connected_components", "cut", "distributed_rank", "fresh", "join_hot", "rank_buckets", "scratch_path", "shared_dir", "small", "table"]
 
 #: A frame of a few numbers a row is broadcast up to so many rows, beyond that it is shuffled.
 BROADCAST_ROWS = 250_000
@@ -20,6 +20,17 @@ BUCKET_ROWS, FEWEST_BUCKETS, MOST_BUCKETS = 2048, 256, 1 << 20
 HOT_ROWS, HOT_SHARE = 256, 10_000
 
 
+#: Bytes of a batch of rows that is sent to Python, where the session does not set its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of a few megabytes: several copies of a batch are held at once, and texts may be long."""
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(conf).removesuffix("b") == str(64 << 20):
+        spark.conf.set(conf, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, small, table
+from stratalog.llm.common import bounded_batches, cut, small, table
 
 WINDOW = 10
 #: Nodes of one automaton; one takes some 50 bytes.
@@ -184,6 +184,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, max_nodes: int = MAX_NODES) -> D
     or a text are no patterns; the windows of an item without an id hit, but name no item. An empty
     benchmark hits nothing. Repeated documents and items are treated row by row, other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     first, *others = _handles(benchmark, max_nodes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = F.lit(None).cast("array<struct<hits:array<bigint>,items:array<bigint>>>")
@@ -242,6 +243,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, max_nodes: int = MAX_
     Rows with a null or empty text stay, repeated rows are treated one by one, an empty benchmark takes
     nothing away and an empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     out, at = docs, docs.columns.index("text")
     for handle in _handles(benchmark, max_nodes):
 

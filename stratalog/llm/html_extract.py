@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, join_hot, scratch_path, table
+from stratalog.llm.common import bounded_batches, cut, join_hot, scratch_path, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag, whatever it holds.
@@ -667,6 +667,7 @@ def extract(pages: DataFrame) -> DataFrame:
     gives an empty result.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     path = scratch_path(spark, "pages")  # parsed once, read twice
     picked.mapInArrow(_parsed, PARSED).write.parquet(path)

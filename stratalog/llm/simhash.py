@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stratalog.llm.common import connected_components, cut, fresh, join_hot, small, table
+from stratalog.llm.common import bounded_batches, connected_components, cut, fresh, join_hot, small, table
 
 BITS, SEED, WORDS, MAX_DIFFERING, POSITIONS = 64, 42, 3, 3, 8
 #: Positions that must agree: each differing bit spoils one at most.
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64()), batch.column(2)], names=["doc_id", "fp", "h"])
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, table
+from stratalog.llm.common import bounded_batches, cut, table
 
 WORD = re.compile(r"\w+")
 #: At most about so many labelled texts train the model; beyond, a hash of the id picks them.
@@ -231,6 +231,7 @@ def _count(batches):
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_features: int = MAX_FEATURES) -> Model:
     """The model from labelled rows. Without labels of both kinds every text scores alike, below one half."""
+    bounded_batches(docs.sparkSession)
     rows = cut(training_rows(docs, labels, limit))
     counted = rows.mapInArrow(_count, "f string, half int, y int, n long")
     summed = counted.groupBy("f").agg(
@@ -310,6 +311,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(passages, kind)], names=["doc_id", "score", "passages"]
             )
 
+    bounded_batches(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(run, schema)
 
@@ -324,6 +326,7 @@ def located(text: str, found: list[tuple[int, int, float, float]]) -> list[dict]
 def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
