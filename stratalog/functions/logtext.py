@@ -2,6 +2,9 @@
 
 Patterns keep the meaning of a Unicode-aware, newline-only regular expression: ``(?d)`` makes the line
 feed the only line end, ``(?U)`` makes classes and word boundaries Unicode.
+
+Large expressions are written as SQL text, from the same patterns: the text is parsed once, while every call
+that builds a column is a message to the JVM. Functions that end in ``_sql`` take and return such text.
 """
 
 from __future__ import annotations
@@ -117,22 +120,37 @@ def hints(pattern: str) -> tuple[str, ...] | None:
     return None if min(map(len, best)) < 3 else tuple(dict.fromkeys(best))
 
 
-def may_match(text: Column, pattern: str) -> Column | None:
-    """A cheap condition that every text with a match meets, or None."""
+def quoted(text: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    return f"rlike({text}, {quoted(FLAGS + pattern)})"
+
+
+def replaced_sql(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quoted(FLAGS + pattern)}, {quoted(by)})"
+
+
+def trimmed_sql(text: str) -> str:
+    return replaced_sql(text, rf"^{SPACE}+|{SPACE}+\z", "")
+
+
+def may_match_sql(text: str, pattern: str) -> str:
+    """A cheap condition that every text with a match meets."""
     found = hints(pattern)
-    return None if found is None else functools.reduce(lambda a, b: a | b, [text.contains(h) for h in found])
+    return "true" if found is None else "(" + " OR ".join(f"contains({text}, {quoted(h)})" for h in found) + ")"
 
 
-def matches_line(line: Column, pattern: str) -> Column:
+def matches_line_sql(line: str, pattern: str) -> str:
     """As ``matches``; the expression is tried only on lines that hold what it needs."""
-    may = may_match(line, pattern)
-    return matches(line, pattern) if may is None else may & matches(line, pattern)
+    return f"({may_match_sql(line, pattern)} AND {matches_sql(line, pattern)})"
 
 
-def indices(lines: Column, pattern: str) -> Column:
+def indices_sql(lines: str, pattern: str) -> str:
     """0-based numbers of the lines that match."""
-    hits = F.transform(lines, lambda x, i: F.when(matches_line(x, pattern), i))
-    return F.filter(hits, lambda i: i.isNotNull())
+    return f"filter(transform({lines}, (x, i) -> CASE WHEN {matches_line_sql('x', pattern)} THEN i END), i -> i IS NOT NULL)"
 
 
 def sections(lines: Column) -> Column:
@@ -157,9 +175,9 @@ def _spans(marks: Column, count: Column) -> Column:
     return F.filter(F.transform(marks, span), lambda s: s.isNotNull())
 
 
-def enclosing(found: Column, at: Column) -> Column:
+def enclosing_sql(found: str, at: str) -> str:
     """The section around a line, or null."""
-    return F.get(F.filter(found, lambda s: (s["start"] <= at) & (s["end"] >= at)), F.lit(0))
+    return f"get(filter({found}, s -> s.start <= {at} AND s.end >= {at}), 0)"
 
 
 # What changes between runs of one failure, in the order in which it is replaced.
@@ -213,31 +231,31 @@ DISCRIMINATORS = (
 )
 
 
-def normalise_line(line: Column) -> Column:
+def normalise_line_sql(line: str) -> str:
     """A line with everything that varies between runs replaced by tokens."""
-    apply = lambda text, step: replaced(text, *step)
+    apply = lambda text, step: replaced_sql(text, *step)
+    once = lambda value, name, use: f"transform(array({value}), {name} -> {use})[0]"
     counted = functools.reduce(apply, COUNT_LINES, line)
-    banner = F.when(matches(counted, BANNER), replaced(counted, BANNER_COUNT, "<N> $2")).otherwise(counted)
+    banner = f"CASE WHEN {matches_sql('c', BANNER)} THEN {replaced_sql('c', BANNER_COUNT, '<N> $2')} ELSE c END"
     # most lines hold no digit: of the substitutions only those of paths can touch them
-    plain = functools.reduce(apply, [s for s in SUBSTITUTIONS if r"\d" not in s[0] and "0-9" not in s[0]], banner)
-    full = functools.reduce(apply, SUBSTITUTIONS, banner)
-    out = F.when(banner.rlike(r"(?U)\d|[0-9a-fA-F]{12}|0x"), full).otherwise(plain)
-    return trimmed(replaced(out, r"[ \t]+", " "))
+    plain = functools.reduce(apply, [s for s in SUBSTITUTIONS if r"\d" not in s[0] and "0-9" not in s[0]], "b")
+    full = functools.reduce(apply, SUBSTITUTIONS, "b")
+    out = f"CASE WHEN rlike(b, {quoted('(?U)[0-9]|[0-9a-fA-F]{12}')}) OR rlike(b, {quoted('(?U)' + chr(92) + 'd')}) THEN {full} ELSE {plain} END"
+    return trimmed_sql(replaced_sql(once(counted, "c", once(banner, "b", out)), r"[ \t]+", " "))
 
 
-def normalise(lines: Column) -> Column:
+def normalise_sql(lines: str) -> str:
     """Normalised lines that are not empty, joined by line feeds."""
-    return F.array_join(F.filter(F.transform(lines, normalise_line), lambda x: x != ""), "\n")
+    return f"array_join(filter(transform({lines}, l -> {normalise_line_sql('l')}), l -> l <> ''), '\\n')"
 
 
-def discriminators(text: Column) -> Column:
+def discriminators_sql(text: str) -> str:
     """Sorted distinct kind:value tokens of a normalised text."""
 
-    def tokens(kind: str, pattern: str) -> Column:
-        values = F.regexp_extract_all(text, F.lit("(?mdU)" + pattern), 1)
-        return F.transform(values, lambda v: F.concat(F.lit(f"{kind}:"), trimmed(v)))
+    def tokens(kind: str, pattern: str) -> str:
+        return f"transform(regexp_extract_all({text}, {quoted('(?mdU)' + pattern)}, 1), v -> concat({quoted(kind + ':')}, {trimmed_sql('v')}))"
 
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[tokens(k, p) for k, p in DISCRIMINATORS]))))
+    return f"array_sort(array_distinct(flatten(array({', '.join(tokens(k, p) for k, p in DISCRIMINATORS)}))))"
 
 
 @F.pandas_udf(T.StringType())

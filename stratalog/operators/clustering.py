@@ -1,9 +1,9 @@
 """Grouping failures: equal fingerprints first, then similar ones that agree in what must agree.
 
 Fingerprints of one category and one set of discriminators form a bucket. The pairs of a bucket, smaller
-digest first, are a join of the fingerprints with themselves; pairs whose letter counts already tell that
-they are too different fall away in the join, the rest are compared in batches, and groups are the
-components of the similar pairs. Buckets are compared up to ``MAX_BUCKET`` fingerprints, as published;
+digest first, are a join of the fingerprints with themselves; pairs whose lengths already tell that they are
+too different fall away in the join, the rest are compared in batches, and groups are the components of the
+similar pairs. Buckets are compared up to ``MAX_BUCKET`` fingerprints, as published;
 ``max_bucket=None`` compares all of them.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -28,27 +28,20 @@ def ratio(left: str, right: str) -> float:
     return difflib.SequenceMatcher(a=left, b=right, autojunk=False).ratio()
 
 
-@F.pandas_udf(T.DoubleType())
-def _ratio(left, right):
-    import pandas as pd
+def _compared(threshold: float):
+    """A column function of two texts: their similarity, or null where their letters alone rule it out."""
 
-    return pd.Series([ratio(a, b) for a, b in zip(left, right, strict=True)])
+    @F.pandas_udf(T.DoubleType())
+    def compared(left, right):
+        import pandas as pd
 
+        def one(a: str, b: str) -> float | None:
+            pair = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+            return pair.ratio() if pair.quick_ratio() >= threshold else None
 
-def _letters(text: Column) -> Column:
-    """How often each character is in a text, as a map."""
-    sorted_chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    kinds = F.array_distinct(sorted_chars)
-    count = lambda cs, c: F.size(cs) - F.size(F.array_remove(cs, c))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda c: count(sorted_chars, c)))
+        return pd.Series([one(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
-
-def _most_alike(left: Column, right: Column, n: Column) -> Column:
-    """The similarity that two texts could have by their letters alone; ``n`` is their length together."""
-    shared = F.aggregate(
-        F.map_entries(left), F.lit(0).cast("long"), lambda s, e: s + F.least(e["value"], F.coalesce(F.element_at(right, e["key"]), F.lit(0)))
-    )
-    return F.when(n == 0, 1.0).otherwise(2.0 * shared / n)
+    return compared
 
 
 def fingerprints(failures: DataFrame) -> DataFrame:
@@ -67,12 +60,12 @@ def similar_pairs(prints: DataFrame, threshold: float = THRESHOLD, max_bucket: i
     rows = prints if max_bucket is None else prints.withColumn("of", F.count(F.lit(1)).over(whole)).where(F.col("of") <= max_bucket)
     # null-safe, as one value: the bucket is then a plain key of the join
     bucket = F.sha2(F.to_json(F.struct(*BUCKET)), 256)
-    slim = cut(rows.select(bucket.alias("bucket"), "digest", "normalised", F.char_length("normalised").alias("n"), _letters(F.col("normalised")).alias("letters")))
+    slim = cut(rows.select(bucket.alias("bucket"), "digest", "normalised", F.char_length("normalised").alias("n")))
     l, r = slim.alias("l"), slim.alias("r")
     n = F.col("l.n") + F.col("r.n")
     near = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.digest") < F.col("r.digest"))
-    near = near & (2 * F.least("l.n", "r.n") >= threshold * n) & (_most_alike(F.col("l.letters"), F.col("r.letters"), n) >= threshold)
-    pairs = l.join(r, near).select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"), _ratio("l.normalised", "r.normalised").alias("similarity"))
+    pairs = l.join(r, near & (2 * F.least("l.n", "r.n") >= threshold * n))
+    pairs = pairs.select(F.col("l.digest").alias("a"), F.col("r.digest").alias("b"), _compared(threshold)("l.normalised", "r.normalised").alias("similarity"))
     return pairs.where(F.col("similarity") >= threshold)
 
 

@@ -9,7 +9,6 @@ tried only where the log, and then the line, holds a string that every match of
 
 from __future__ import annotations
 
-import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame
@@ -21,148 +20,101 @@ from stratalog.functions.rules import RULES, TAIL_LINES, TAIL_RULE, Rule
 SPAN = "struct<rule:string,category:string,weight:int,start_line:int,end_line:int,summary:string,lines:array<string>>"
 
 
-def _once(value: Column, use) -> Column:
-    return F.transform(F.array(value), use)[0]
+SPANS = "array<struct<start:int,end:int,anchor:int>>"
 
 
-SPANS = "array<struct<start:int,end:int,anchor:int>>"
+def _once(value: str, name: str, use: str) -> str:
+    """``use`` with ``name`` standing for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def anchor_spans(rule: Rule, lines: Column, sections: Column) -> Column:
+def anchor_spans(rule: Rule, lines: str = "lines", sections: str = "sections") -> str:
     """The span around each anchor of a rule as (start, end, anchor), whether or not it lies in an earlier one.
 
     It starts at the nearest open mark before the anchor and ends at the next close mark, where the rule has
     them and they are near enough, else a fixed number of lines away; it never leaves the anchor's section.
     """
-    none = F.array().cast("array<int>")
-    marks = F.struct(
-        logtext.indices(lines, rule.anchor).alias("anchors"),
-        (logtext.indices(lines, rule.open) if rule.open else none).alias("opens"),
-        (logtext.indices(lines, rule.close) if rule.close else none).alias("closes"),
+    none = "cast(array() AS array<int>)"
+    marks = (
+        f"named_struct('anchors', {logtext.indices_sql(lines, rule.anchor)}, 'opens', {logtext.indices_sql(lines, rule.open) if rule.open else none}, "
+        f"'closes', {logtext.indices_sql(lines, rule.close) if rule.close else none})"
     )
-
-    def span(m: Column, at: Column) -> Column:
-        around = logtext.enclosing(sections, at)
-        floor = F.coalesce(around["start"], F.lit(0))
-        ceiling = F.coalesce(around["end"], F.size(lines) - 1)
-        opened = F.array_max(F.filter(m["opens"], lambda o: (o <= at) & (o >= F.greatest(floor, at - rule.max_back))))
-        closed = F.array_min(F.filter(m["closes"], lambda c: (c > at) & (c <= F.least(ceiling, at + rule.max_forward))))
-        last = closed if rule.close_inclusive else F.greatest(at, closed - 1)
-        start = F.coalesce(opened, F.greatest(floor, at - rule.before)) if rule.open else F.greatest(floor, at - rule.before)
-        plain_end = F.least(ceiling, at + rule.after)
-        end = F.when(closed.isNotNull(), last).otherwise(plain_end) if rule.close else plain_end
-        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), at.cast("int").alias("anchor"))
-
-    return _once(marks, lambda m: F.transform(m["anchors"], lambda a: span(m, a)))
-
-
-def rule_spans(rule: Rule, lines: Column, sections: Column) -> Column:
+    bounds = f"named_struct('lo', coalesce(e.start, 0), 'hi', coalesce(e.end, size({lines}) - 1))"
+    start = f"greatest(b.lo, a - {rule.before})"
+    if rule.open:
+        start = f"coalesce(array_max(filter(m.opens, o -> o <= a AND o >= greatest(b.lo, a - {rule.max_back}))), {start})"
+    end = f"least(b.hi, a + {rule.after})"
+    if rule.close:
+        closed = f"array_min(filter(m.closes, c -> c > a AND c <= least(b.hi, a + {rule.max_forward})))"
+        last = "c" if rule.close_inclusive else "greatest(a, c - 1)"
+        end = _once(closed, "c", f"CASE WHEN c IS NULL THEN {end} ELSE {last} END")
+    span = f"named_struct('start', cast({start} AS int), 'end', cast({end} AS int), 'anchor', cast(a AS int))"
+    around = _once(logtext.enclosing_sql(sections, "a"), "e", _once(bounds, "b", span))
+    return _once(marks, "m", f"transform(m.anchors, a -> {around})")
+
+
+def rule_spans(rule: Rule, lines: str = "lines", sections: str = "sections") -> str:
     """All spans of a rule as (start, end, anchor): greedy from the top, anchors inside an earlier span skipped."""
-    zero = F.struct(F.lit(-1).alias("until"), F.array().cast(SPANS).alias("kept"))
-
-    def keep(state: Column, s: Column) -> Column:
-        free = s["anchor"] > state["until"]
-        return F.struct(
-            F.when(free, s["end"]).otherwise(state["until"]).alias("until"),
-            F.when(free, F.array_append(state["kept"], s)).otherwise(state["kept"]).alias("kept"),
-        )
-
-    return F.aggregate(anchor_spans(rule, lines, sections), zero, keep, lambda s: s["kept"])
-
-
-def _described(rule: Rule, s: Column, lines: Column) -> Column:
-    body = F.slice(lines, s["start"] + 1, s["end"] - s["start"] + 1)
-    anchor = F.get(lines, s["anchor"])
-    told = F.get(F.filter(body, lambda x: logtext.matches_line(x, rule.summary)), F.lit(0)) if rule.summary else F.lit(None).cast("string")
-    return F.struct(
-        F.lit(rule.name).alias("rule"),
-        F.lit(rule.category).alias("category"),
-        F.lit(rule.weight).alias("weight"),
-        s["start"].alias("start_line"),
-        s["end"].alias("end_line"),
-        logtext.trimmed(F.coalesce(told, anchor)).alias("summary"),
-        body.alias("lines"),
+    free = "s.anchor > t.until"
+    keep = f"named_struct('until', CASE WHEN {free} THEN s.end ELSE t.until END, 'kept', CASE WHEN {free} THEN array_append(t.kept, s) ELSE t.kept END)"
+    zero = f"named_struct('until', -1, 'kept', cast(array() AS {SPANS}))"
+    return f"aggregate({anchor_spans(rule, lines, sections)}, {zero}, (t, s) -> {keep}, t -> t.kept)"
+
+
+def _described(rule: Rule, lines: str) -> str:
+    """The chosen span ``p`` as a struct ``SPAN``."""
+    told = "w[p.anchor - p.start]"
+    if rule.summary:
+        told = f"coalesce(get(filter(w, x -> {logtext.matches_line_sql('x', rule.summary)}), 0), {told})"
+    struct = (
+        f"named_struct('rule', '{rule.name}', 'category', '{rule.category}', 'weight', {rule.weight}, 'start_line', p.start, 'end_line', p.end, "
+        f"'summary', {logtext.trimmed_sql(told)}, 'lines', w)"
     )
+    return _once(f"slice({lines}, p.start + 1, p.end - p.start + 1)", "w", struct)
 
 
-def candidates(lines: Column, sections: Column, rules=RULES, spans=rule_spans) -> Column:
-    """Spans of all rules as (rule, start, end, anchor), in order of rules and anchors."""
-
-    def named(rule: Rule) -> Column:
-        return F.transform(
-            spans(rule, lines, sections),
-            lambda s: F.struct(F.lit(rule.name).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["anchor"].alias("anchor")),
-        )
-
-    return F.flatten(F.array(*[named(r) for r in rules]))
+def candidates(rules=RULES, spans=rule_spans) -> Column:
+    """Spans of all rules as (rule, start, end, anchor), in order of rules and anchors, from the columns lines and sections."""
+    named = [f"transform({spans(r)}, z -> named_struct('rule', '{r.name}', 'start', z.start, 'end', z.end, 'anchor', z.anchor))" for r in rules]
+    return F.expr(f"flatten(array({', '.join(named)}))")
 
 
-def _best_of(rules: list[Rule], lines: Column, sections: Column) -> Column:
+def _best_of(rules: list[Rule]) -> str:
     """Among rules of one weight the span that starts first; ties go to the earlier rule, then the earlier anchor."""
+    keyed = [f"transform({rule_spans(r)}, z -> named_struct('start', z.start, 'k', {k}, 'anchor', z.anchor, 'end', z.end))" for k, r in enumerate(rules)]
+    chosen = _described(rules[-1], "lines")
+    for k, r in list(enumerate(rules))[:-1]:
+        chosen = f"CASE WHEN p.k = {k} THEN {_described(r, 'lines')} ELSE {chosen} END"
+    return _once(f"array_min(flatten(array({', '.join(keyed)})))", "p", chosen)
 
-    def ranked(k: int, rule: Rule) -> Column:
-        return F.transform(
-            rule_spans(rule, lines, sections),
-            lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["anchor"].alias("anchor"), s["end"].alias("end")),
-        )
 
-    keyed = [ranked(k, r) for k, r in enumerate(rules)]
+def _tail(exit_code: str) -> str:
+    """The end of a log in which no rule fires: from the 25th last line that is not blank to the last."""
+    filled = f"filter(transform(lines, (x, i) -> CASE WHEN {logtext.trimmed_sql('x')} <> '' THEN i END), i -> i IS NOT NULL)"
+    ends = f"named_struct('a', coalesce(get(f, greatest(0, size(f) - {TAIL_LINES})), 0), 'z', coalesce(get(f, size(f) - 1), size(lines) - 1))"
+    code = f"coalesce(concat(' (exit code ', cast({exit_code} AS string), ')'), '')"
+    # fixed value: the words of the summary
+    struct = (
+        f"named_struct('rule', '{TAIL_RULE}', 'category', 'unknown', 'weight', 0, 'start_line', cast(g.a AS int), 'end_line', cast(g.z AS int), "
+        f"'summary', concat('no rule matched, showing the tail', {code}), 'lines', slice(lines, g.a + 1, g.z - g.a + 1))"
+    )
+    return _once(filled, "f", _once(ends, "g", struct))
 
-    def chosen(best: Column) -> Column:
-        out = _described(rules[-1], best, lines)
-        for k, r in list(enumerate(rules))[:-1]:
-            out = F.when(best["k"] == k, _described(r, best, lines)).otherwise(out)
-        return out
 
-    return _once(F.array_min(F.flatten(F.array(*keyed))), chosen)
+def _fires(rule: Rule) -> str:
+    """Whether the rule has an anchor among the lines of the cleaned log."""
+    return f"({logtext.may_match_sql('clean', rule.anchor)} AND exists(lines, x -> {logtext.matches_line_sql('x', rule.anchor)}))"
 
 
-def tail(lines: Column, exit_code: Column) -> Column:
-    """The end of a log in which no rule fires: from the 25th last line that is not blank to the last."""
-    filled = F.filter(F.transform(lines, lambda x, i: F.when(logtext.trimmed(x) != "", i)), lambda i: i.isNotNull())
-
-    def span(at: Column) -> Column:
-        first, last = F.get(at, F.greatest(F.lit(0), F.size(at) - TAIL_LINES)), F.get(at, F.size(at) - 1)
-        first, last = F.coalesce(first, F.lit(0)), F.coalesce(last, F.size(lines) - 1)
-        code = F.when(exit_code.isNotNull(), F.concat(F.lit(" (exit code "), exit_code.cast("string"), F.lit(")"))).otherwise("")
-        # fixed value: the words of the summary
-        told = F.concat(F.lit("no rule matched, showing the tail"), code)
-        return F.struct(
-            F.lit(TAIL_RULE).alias("rule"),
-            F.lit("unknown").alias("category"),
-            F.lit(0).alias("weight"),
-            first.cast("int").alias("start_line"),
-            last.cast("int").alias("end_line"),
-            told.alias("summary"),
-            F.slice(lines, first + 1, last - first + 1).alias("lines"),
-        )
-
-    return _once(filled, span)
-
-
-def _fires(clean: Column, lines: Column, rules: list[Rule]) -> Column:
-    """Whether any rule has an anchor among the lines of the cleaned log."""
-
-    def fires(rule: Rule) -> Column:
-        may = logtext.may_match(clean, rule.anchor)
-        found = F.exists(lines, lambda x: logtext.matches_line(x, rule.anchor))
-        return found if may is None else may & found
-
-    return functools.reduce(lambda a, b: a | b, map(fires, rules))
-
-
-def best_span(clean: Column, lines: Column, sections: Column, exit_code: Column) -> Column:
-    """The span that explains the failure, as a struct ``SPAN``; ``lines`` are those of the cleaned log ``clean``."""
-    empty = F.struct(
-        F.lit(TAIL_RULE).alias("rule"), F.lit("unknown").alias("category"), F.lit(0).alias("weight"), F.lit(0).alias("start_line"),
-        F.lit(0).alias("end_line"), F.lit("empty log").alias("summary"), F.array().cast("array<string>").alias("lines"),
-    )
-    out = F.when(F.size(lines) == 0, empty.cast(SPAN))
+def best_span(exit_code: str) -> Column:
+    """The span that explains the failure, as a struct ``SPAN``, from the columns ``clean``, ``lines`` and ``sections``."""
+    empty = f"named_struct('rule', '{TAIL_RULE}', 'category', 'unknown', 'weight', 0, 'start_line', 0, 'end_line', 0, 'summary', 'empty log', 'lines', array())"
+    cases = [f"WHEN size(lines) = 0 THEN cast({empty} AS {SPAN})"]
     ordered = sorted(RULES, key=lambda r: -r.weight)
     for _, same in itertools.groupby(ordered, key=lambda r: r.weight):
         group = list(same)
-        out = out.when(_fires(clean, lines, group), _best_of(group, lines, sections).cast(SPAN))
-    return out.otherwise(tail(lines, exit_code).cast(SPAN))
+        cases.append(f"WHEN {' OR '.join(map(_fires, group))} THEN cast({_best_of(group)} AS {SPAN})")
+    return F.expr(f"CASE {' '.join(cases)} ELSE cast({_tail(exit_code)} AS {SPAN}) END")
 
 
 def computed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -196,35 +148,19 @@ def with_lines(logs: DataFrame, log: str = "log") -> DataFrame:
     return computed(split, sections=F.when(F.col("clean").contains("##[group]"), logtext.sections(F.col("lines"))).otherwise(none))
 
 
-@functools.lru_cache(maxsize=8)
-def _expressions(application: str) -> dict[str, Column]:
-    """The large expressions on columns of fixed names; building them takes longer than running a small query."""
-    clean, lines, sections = F.col("clean"), F.col("lines"), F.col("sections")
-    return {
-        "coded": best_span(clean, lines, sections, F.col("exit_code")),
-        "plain": best_span(clean, lines, sections, F.lit(None).cast("int")),
-        "normalised": logtext.normalise(F.col("span.lines")),
-        "discriminators": logtext.discriminators(F.col("normalised")),
-    }
-
-
-def _expression(rows: DataFrame, name: str) -> Column:
-    return _expressions(rows.sparkSession.sparkContext.applicationId)[name]
-
-
 def extract(logs: DataFrame, log: str = "log", exit_code: str | None = "exit_code") -> DataFrame:
     """Adds ``span``; every log gets one."""
     rows = logs if exit_code in (None, "exit_code") else logs.withColumn("exit_code", F.col(exit_code))
     found = with_lines(rows, log)
-    return computed(found, span=_expression(rows, "coded" if exit_code else "plain")).drop("clean", "lines", "sections")
+    return computed(found, span=best_span("exit_code" if exit_code else "cast(null AS int)")).drop("clean", "lines", "sections")
 
 
 def normalised(spans: DataFrame) -> DataFrame:
     """Adds the normalised text of ``span``."""
-    return computed(spans, normalised=_expression(spans, "normalised"))
+    return computed(spans, normalised=F.expr(logtext.normalise_sql("span.lines")))
 
 
 def fingerprinted(spans: DataFrame) -> DataFrame:
     """Adds the normalised span text, its discriminators and its digest."""
-    told = computed(normalised(spans), discriminators=_expression(spans, "discriminators"))
+    told = computed(normalised(spans), discriminators=F.expr(logtext.discriminators_sql("normalised")))
     return told.withColumn("digest", logtext.digest("normalised"))

@@ -255,7 +255,7 @@ def sections(spark, sf_dir):
 @_query(LOGS_SQL + "SELECT doc_id, count(*) FILTER (i <= anchor0 + 1) AS inside, count(*) FILTER (i > anchor0 + 1) AS outside FROM (SELECT doc_id, anchor0, unnest(range(0, last + 1)) AS i FROM placed) GROUP BY doc_id")
 def enclosing_section(spark, sf_dir):
     logs = extraction.with_lines(ci_logs(spark, sf_dir))
-    hit = F.transform("lines", lambda x, i: logtext.enclosing(F.col("sections"), i).isNotNull().cast("long"))
+    hit = F.expr(f"transform(lines, (x, i) -> cast({logtext.enclosing_sql('sections', 'i')} IS NOT NULL AS bigint))")
     total = F.aggregate(hit, F.lit(0).cast("long"), lambda s, x: s + x)
     return logs.select("doc_id", total.alias("inside"), (F.size("lines") - total).alias("outside"))
 
@@ -263,21 +263,18 @@ def enclosing_section(spark, sf_dir):
 @_query(LOGS_SQL + "SELECT doc_id, rule, cast(start_line AS int) AS start_line, cast(end_line AS int) AS end_line, cast(anchor AS int) AS anchor FROM bounded UNION SELECT doc_id, 'exit-code', cast(greatest(0, last - 21) AS int), cast(last - 1 AS int), cast(last - 1 AS int) FROM bounded")
 def greedy_candidates(spark, sf_dir):
     logs = extraction.with_lines(ci_logs(spark, sf_dir))
-    found = logs.select("doc_id", F.explode(extraction.candidates(F.col("lines"), F.col("sections"))).alias("c"))
+    found = logs.select("doc_id", F.explode(extraction.candidates()).alias("c"))
     return found.select("doc_id", "c.rule", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), "c.anchor")
 
 
 @_query(LOGS_SQL + "SELECT rule, count(*) AS n FROM (SELECT doc_id, rule FROM bounded UNION SELECT doc_id, 'exit-code' FROM bounded) GROUP BY rule")
 def rule_counts(spark, sf_dir):
     logs = extraction.with_lines(ci_logs(spark, sf_dir))
-    fired = F.array_compact(F.array(*[F.when(F.exists("lines", _matcher(r.anchor)), F.lit(r.name)) for r in RULES]))
+    each = [f"CASE WHEN exists(lines, x -> {logtext.matches_line_sql('x', r.anchor)}) THEN '{r.name}' END" for r in RULES]
+    fired = F.expr(f"array_compact(array({', '.join(each)}))")
     return logs.select(F.explode(fired).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _matcher(pattern: str):
-    return lambda line: logtext.matches(line, pattern)
-
-
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -313,8 +310,9 @@ def _hits_sql(rules) -> str:
 @_query(_hits_sql(RULES) + "SELECT rule, doc_id, count(*) AS n, cast(min(anchor) AS int) AS first_anchor FROM anchors GROUP BY ALL")
 def rule_hits(spark, sf_dir):
     logs = extraction.with_lines(marked_logs(spark, sf_dir))
-    marks = [F.transform(logtext.indices(F.col("lines"), r.anchor), lambda i, r=r: F.struct(F.lit(r.name).alias("rule"), i.alias("i"))) for r in RULES]
-    found = logs.select("doc_id", F.explode(F.flatten(F.array(*marks))).alias("m"))
+
+    hits = [f"transform({logtext.indices_sql('lines', r.anchor)}, k -> named_struct('rule', '{r.name}', 'i', k))" for r in RULES]
+    found = logs.select("doc_id", F.explode(F.expr(f"flatten(array({', '.join(hits)}))")).alias("m"))
     return found.groupBy("m.rule", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("m.i").alias("first_anchor"))
 
 
@@ -324,7 +322,7 @@ _CLOSING = [r for r in RULES if r.close]
 
 def _anchored(spark, sf_dir, rules):
     logs = extraction.with_lines(marked_logs(spark, sf_dir))
-    found = extraction.candidates(F.col("lines"), F.col("sections"), rules, extraction.anchor_spans)
+    found = extraction.candidates(rules, extraction.anchor_spans)
     return logs.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.rule", "c.anchor", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"))
 
 
@@ -350,7 +348,7 @@ SELECT doc_id, rule, cast(start_line AS int) AS start_line, cast(end_line AS int
 )
 def greedy_marked(spark, sf_dir):
     logs = extraction.with_lines(marked_logs(spark, sf_dir))
-    found = logs.select("doc_id", F.explode(extraction.candidates(F.col("lines"), F.col("sections"))).alias("c"))
+    found = logs.select("doc_id", F.explode(extraction.candidates()).alias("c"))
     return found.select("doc_id", "c.rule", F.col("c.start").alias("start_line"), F.col("c.end").alias("end_line"), "c.anchor")
 
 
@@ -432,12 +430,12 @@ def _discriminators_sql() -> str:
 
 @_query(_NORMAL_SQL + f"SELECT doc_id, {_discriminators_sql()} AS tokens FROM normal")
 def discriminators(spark, sf_dir):
-    return _prints(spark, sf_dir).select("doc_id", F.array_join(logtext.discriminators(F.col("normalised")), " ").alias("tokens"))
+    return _prints(spark, sf_dir).select("doc_id", F.array_join(F.expr(logtext.discriminators_sql("normalised")), " ").alias("tokens"))
 
 
 @_query(_NORMAL_SQL + f"SELECT category, tokens, count(DISTINCT normalised) AS texts FROM (SELECT *, {_discriminators_sql()} AS tokens FROM normal) GROUP BY ALL")
 def buckets(spark, sf_dir):
-    prints = extraction.computed(_prints(spark, sf_dir), tokens=F.array_join(logtext.discriminators(F.col("normalised")), " "))
+    prints = extraction.computed(_prints(spark, sf_dir), tokens=F.array_join(F.expr(logtext.discriminators_sql("normalised")), " "))
     return prints.groupBy(F.col("span.category").alias("category"), "tokens").agg(F.countDistinct("normalised").alias("texts"))
 
 

@@ -50,7 +50,7 @@ PAIRS_APART = [("exit code 1", "exit code 2"), ("HTTP status: 502", "HTTP status
 
 
 def test_normalisation_pairs(spark):
-    norm = lambda texts: column(spark, texts, lambda t: logtext.normalise(F.array(t)))
+    norm = lambda texts: column(spark, texts, lambda t: F.expr(logtext.normalise_sql("array(t)")))
     for a, b in zip(*(norm([p[k] for p in PAIRS_EQUAL]) for k in (0, 1)), strict=True):
         assert a == b
     for a, b in zip(*(norm([p[k] for p in PAIRS_APART]) for k in (0, 1)), strict=True):
@@ -62,7 +62,7 @@ def test_normalisation_pairs(spark):
 
 def test_discriminators_and_digest(spark):
     text = "FAILED tests/a.py::test_b[x] - no\npanic: boom [recovered]\nCaused by: java.lang.IOException\nnpm ERR! code E404\nexit code: 3\nE   AssertionError: x"
-    assert column(spark, [text], logtext.discriminators)[0] == sorted(
+    assert column(spark, [text], lambda t: F.expr(logtext.discriminators_sql("t")))[0] == sorted(
         ["pytest:tests/a.py::test_b[x]", "gopanic:boom", "exception:IOException", "exception:AssertionError", "npmcode:E404", "exit:3", "assertion:AssertionError"]
     )
     assert column(spark, [""], logtext.digest) == ["e4a6a0577479b2b4"]
