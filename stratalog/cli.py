@@ -31,14 +31,14 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> int:
     args = parser().parse_args(argv)
     from stratalog.plans import render, report
-    from stratalog.sources import manifest
+    from stratalog.sources import FileCorpus, manifest
 
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        runs = manifest.read_corpus(spark, args.corpus)
+        runs = FileCorpus(args.corpus).runs(spark)
     except manifest.IngestError as error:
         print(f"error: {error}", file=sys.stderr)
         return 3
@@ -58,9 +58,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     found = report.analyse(runs, args.similarity)
     if args.json:
         if str(args.json) == "-":
-            print(render.as_json(found), end="")
+            sys.stdout.writelines(render.json_pieces(found))
         else:
-            args.json.write_text(render.as_json(found), encoding="utf-8")
+            with args.json.open("w", encoding="utf-8") as f:
+                f.writelines(render.json_pieces(found))
     if args.html:
         args.html.write_text(render.as_html(found), encoding="utf-8")
     if not args.json or str(args.json) != "-":

@@ -1,7 +1,8 @@
 """Reading and writing a corpus directory: a versioned manifest of runs and their logs.
 
-The manifest is small and is validated on the driver, where an error can name its culprit; logs are read
-by Spark, only those of failed runs. Plain logs and zip archives may be mixed.
+The manifest is one JSON document; it is validated on the driver, where an error can name its culprit. Logs
+are read by Spark, only those of failed runs. Plain logs and zip archives may be mixed. A history too large
+for one document enters as a table (``stratalog.sources.RunTable``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from stratalog.functions.logtext import universal_newlines
 from stratalog.functions.runs import OUTCOMES
+from stratalog.scratch import file_system
 
 SCHEMA_VERSION = 1
 REQUIRED = ("run_id", "repo", "workflow", "job", "branch", "commit", "actor", "conclusion", "started_at", "completed_at", "runner")
@@ -53,8 +55,8 @@ def outcome_of(value: str | None) -> str:
 
 def _manifest_text(spark: SparkSession, root: str) -> str:
     path = f"{root.rstrip('/')}/runs.json"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    there, files = file_system(spark, path)
+    if not files.exists(there):
         raise IngestError(f"{path} not found: is {root} a corpus directory?")
     return spark.read.text(path, wholetext=True).first()[0]
 
@@ -92,42 +94,62 @@ def _row(ord_: int, e: dict) -> tuple:
     )
 
 
+def _relative(root: str):
+    return F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/").split("://")[-1].lstrip("/")) + "/", "")
+
+
+def missing_files(spark: SparkSession, root: str, paths: Iterable[str]) -> list[str]:
+    """Those of the paths below the root that are no files: one listing of the folder, whatever the number of paths."""
+    wanted = sorted(set(paths))
+    if not wanted:
+        return []
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(_relative(root).alias("path"))
+    asked = spark.createDataFrame([(p,) for p in wanted], "path string")
+    return [r.path for r in asked.join(listed, "path", "left_anti").orderBy("path").limit(10).collect()]
+
+
 def read_logs(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:
-    """(path, job, log): plain logs have a null job, archives one row for each job in them."""
+    """(path, place, job, log): plain logs have a null job, archives one row for each job in them, by its place."""
     root = root.rstrip("/")
-    plain, zipped = [], []
-    for p in sorted(set(paths)):
-        (zipped if p.endswith(".zip") else plain).append(p)
-    out = spark.createDataFrame([], "path string, job string, log string")
-    relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.split("://")[-1].lstrip("/")) + "/", "")
+    wanted = sorted(set(paths))
+    zipped = [p for p in wanted if p.endswith(".zip")]
+    plain = [p for p in wanted if not p.endswith(".zip")]
+    out = spark.createDataFrame([], LOG)
     if plain:
         files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in plain])
         text = universal_newlines(F.decode(F.make_valid_utf8(F.col("content").cast("string")).cast("binary"), "UTF-8"))
-        out = out.unionByName(files.select(relative.alias("path"), F.lit(None).cast("string").alias("job"), text.alias("log")))
+        out = out.unionByName(files.select(_relative(root).alias("path"), F.lit(0).alias("place"), F.lit(None).cast("string").alias("job"), text.alias("log")))
     if zipped:
-        files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in zipped]).select(relative.alias("path"), "content")
-        out = out.unionByName(files.mapInPandas(_unzipped, "path string, job string, log string"))
+        files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in zipped]).select(_relative(root).alias("path"), "content")
+        out = out.unionByName(files.mapInPandas(_unzipped, LOG))
     return out
 
 
+LOG = "path string, place int, job string, log string"
+# Fixed value: a member of an archive that is a whole job's log.
 MEMBER = re.compile(r"^(\d+)_(.+)\.txt$")
 
 
-def read_archive(content: bytes) -> dict[str, str]:
-    """The logs of an archive by job: its top-level members; of members of one job the last."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        found = {m[2]: z.read(n).decode("utf-8", "replace") for n in z.namelist() if (m := MEMBER.match(n))}
-    if not found:
+def read_archive(content: bytes) -> list[tuple[int, str, str]]:
+    """(place, job, text) of the jobs in a log archive. A job that comes twice keeps its first place and its last text."""
+    jobs: dict[str, list] = {}
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for place, info in enumerate(archive.infolist()):
+            named = MEMBER.match(info.filename)
+            if named:
+                jobs.setdefault(named[2], [place, None])[1] = info
+        rows = [(place, job, archive.read(info).decode("utf-8", "replace")) for job, (place, info) in jobs.items()]
+    if not rows:
         raise IngestError("the log archive holds no top-level job logs")
-    return found
+    return rows
 
 
 def _unzipped(batches):
     import pandas as pd
 
     for batch in batches:
-        rows = [(p, job, log) for p, c in zip(batch["path"], batch["content"], strict=True) for job, log in read_archive(bytes(c)).items()]
-        yield pd.DataFrame(rows, columns=["path", "job", "log"])
+        for path, content in zip(batch["path"], batch["content"], strict=True):  # an archive at a time
+            yield pd.DataFrame([(path, *row) for row in read_archive(bytes(content))], columns=["path", "place", "job", "log"])
 
 
 def plain_name(job):
@@ -136,9 +158,9 @@ def plain_name(job):
 
 
 def select_logs(runs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Adds ``log`` to runs with log_path and log_job: a plain log, the job's own member, or one of the same plain name."""
+    """Adds ``log`` to runs with log_path and log_job: a plain log, the job's own member, or the first of the same plain name."""
     by_path = logs.withColumnRenamed("job", "member").withColumnRenamed("log", "found")
-    tie = F.struct(F.when(F.col("member").isNull(), 0).when(F.col("member") == F.col("log_job"), 1).otherwise(2).alias("r"), "member")
+    tie = F.struct(F.when(F.col("member").isNull(), 0).when(F.col("member") == F.col("log_job"), 1).otherwise(2).alias("r"), "place")
     fits = F.col("member").isNull() | (F.col("member") == F.col("log_job")) | (plain_name(F.col("member")) == plain_name(F.col("log_job")))
     matched = (
         runs.where(F.col("log_path").isNotNull())
@@ -158,15 +180,14 @@ def select_logs(runs: DataFrame, logs: DataFrame) -> DataFrame:
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """The runs of a corpus directory with their logs; the log of a successful run is not read."""
     rows = [_row(i, e) for i, e in enumerate(entries(_manifest_text(spark, root)))]
-    for r in rows:
-        if r[-2]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{r[-2]}")
-            if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-                raise IngestError(f"log file {r[-2]} of run {r[1]} is missing")
+    wanted = [r[-2] for r in rows if r[-2]]
+    lost = missing_files(spark, root, wanted)
+    if lost:
+        whose = next(r[1] for r in rows if r[-2] == lost[0])
+        raise IngestError(f"log file {lost[0]} of run {whose} is missing")
     runs = spark.createDataFrame(rows, RUN)
-    logs = read_logs(spark, root, [r[-2] for r in rows if r[-2]])
     stamped = runs.withColumn("started_at", F.col("started_text").cast("timestamp")).withColumn("completed_at", F.col("completed_text").cast("timestamp"))
-    return select_logs(stamped.drop("started_text", "completed_text"), logs)
+    return select_logs(stamped.drop("started_text", "completed_text"), read_logs(spark, root, wanted))
 
 
 def write_manifest(root: str, repo: str, runs: list[dict]) -> str:

@@ -60,8 +60,11 @@ def test_history_by_hand(spark, tmp_path):
 def test_renderers(spark, tmp_path):
     found = report.analyse(manifest.read_corpus(spark, corpus(tmp_path)))
     text = render.as_text(found, top=3, spans=True)
-    assert text.isascii() and "reproducible" in text and "| FAILED tests/test_a.py::test_x" not in text.split("Extracted")[0]
-    made = json.loads(render.as_json(found))
+    assert text.isascii() and "reproducible" in text and ": FAILED tests/test_a.py::test_x" in text.split("LOG EXCERPTS")[1]
+    told = render.as_json(found)
+    made = json.loads(told)
+    assert told == json.dumps(made, indent=2) + "\n"
+    assert [m["run_id"] for m in made["clusters"][1]["occurrences_detail"]] == ["200", "201", "202"] or [m["run_id"] for m in made["clusters"][2]["occurrences_detail"]] == ["200", "201", "202"]
     assert made["totals"]["failed_runs"] == 6 and sum(c["occurrences"] for c in made["clusters"]) == 6
     assert [c["wasted_billable_seconds"] for c in made["clusters"]] == [27000.0, 720.0, 720.0]
     assert made["clusters"][1]["id"] < made["clusters"][2]["id"]
@@ -74,7 +77,7 @@ def test_renderers(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     root = corpus(tmp_path)
     assert cli.main(["report", root, "--json", str(tmp_path / "o.json"), "--html", str(tmp_path / "o.html")], spark) == 0
-    assert "Ranked by wasted machine time" in capsys.readouterr().out and (tmp_path / "o.html").exists()
+    assert "COSTLIEST CAUSES" in capsys.readouterr().out and (tmp_path / "o.html").exists()
     assert cli.main(["explain", root, "100", "--attempt", "2"], spark) == 0
     assert "pytest:tests/test_a.py::test_x" in capsys.readouterr().out
     assert cli.main(["explain", root, "999"], spark) == 2
@@ -114,6 +117,33 @@ def test_manifest_errors_and_defaults(spark, tmp_path):
         manifest.read_corpus(spark, corpus(tmp_path, [{**HISTORY[2], "job": "absent"}])).collect()
 
 
+def test_archives_keep_the_order_of_their_members(spark, tmp_path):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for name, text in (("2_Web!.txt", "first"), ("1_WEB?.txt", "second"), ("a/0_x.txt", "step"), ("3_Web!.txt", "first again")):
+            z.writestr(name, text)
+    assert manifest.read_archive(data.getvalue()) == [(0, "Web!", "first again"), (1, "WEB?", "second")]
+    root = corpus(tmp_path, [{**HISTORY[2], "job": "web"}])
+    (tmp_path / "logs" / "all.zip").write_bytes(data.getvalue())
+    assert manifest.read_corpus(spark, root).first().log == "first again"
+
+
+def test_every_source_gives_the_same_runs(spark, tmp_path):
+    from stratalog.sources import FileCorpus, Recordings, RunTable
+
+    runs = FileCorpus(corpus(tmp_path / "c")).runs(spark)
+    runs.drop("log").write.parquet(str(tmp_path / "runs"))
+    runs.where("log <> ''").select("ord", "log").write.parquet(str(tmp_path / "logs"))
+    table = RunTable(str(tmp_path / "runs"), str(tmp_path / "logs")).runs(spark)
+    assert table.dtypes == runs.dtypes and sorted(map(str, table.collect())) == sorted(map(str, runs.collect()))
+    payload = {"id": 200, "name": "CI", "head_sha": "abc", "event": "push", "actor": {"login": "ann"}, "repository": {"full_name": "o/r"}}
+    job = {"conclusion": "failure", "started_at": "2026-05-14T09:00:00Z", "completed_at": "2026-05-14T09:06:00Z", "runner_name": "r", "steps": []}
+    jobs = [{**job, "name": "web"}, {**job, "name": "fine", "conclusion": "success"}]
+    (tmp_path / "api.json").write_text(json.dumps({"payload": json.dumps(payload), "jobs": json.dumps(jobs), "archive": "logs/all.zip"}) + "\n")
+    got = {r.job: r for r in Recordings(str(tmp_path / "api.json"), str(tmp_path / "c")).runs(spark).collect()}
+    assert got["web"].log.startswith("npm ERR! code E503") and got["fine"].log == "" and got["web"].run_id == "200"
+
+
 def test_since_keeps_recent_runs_of_any_outcome(spark, tmp_path):
     runs = manifest.read_corpus(spark, corpus(tmp_path))
     assert manifest.since(runs, 1, START + timedelta(days=1, minutes=300)).count() == 2
