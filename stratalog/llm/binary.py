@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, scratch_path, table
+from stratalog.llm.common import bounded_batches, cut, scratch_path, table
 
 END_ID = 2
 HEADER = 16
@@ -302,6 +302,8 @@ def _write_part(path: str, tokenizer, end_id: int):
     return run
 
 
+#: UTF-8 bytes of text that go into one file, about.
+FILE_BYTES = 64 << 20
 #: Stands for a null doc_id in the files; it sorts first.
 NULL_ID = -(1 << 63)
 
@@ -312,10 +314,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     A null or empty text is the end id alone; null ids come first; rows that repeat an id are all written,
     ordered by their texts. Other columns are ignored; an empty table writes empty files or none.
     ``start`` in a record counts from its file; a file's own start is the sum of n_ids of those before it.
+    There is a file for each ``FILE_BYTES`` of text, and one for each shuffle partition at least.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:  # a few megabytes, whatever the corpus
         description = f.read()
     handle = docs.sparkSession.sparkContext.broadcast((hashlib.sha256(description.encode()).hexdigest(), description))
@@ -345,11 +351,39 @@ def read_records(written: DataFrame, path: str, wide: bool, chunk: int = 2 << 20
                         yield _digested(read) if digests else read
                         first = past
 
-    rows = written.select("part").repartition(max(1, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
+    rows = _dealt_parts(written)
     tail = "n_tokens long, ids_crc32 long" if digests else "ids binary"
     return rows.mapInArrow(run, f"part int, record long, doc_id long, start long, {tail}")
 
 
+def _dealt_parts(written: DataFrame) -> DataFrame:
+    return written.select("part").repartition(max(1, int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part")
+
+
+def read_shuffled(written: DataFrame, path: str, wide: bool, seed: int, at_once: int = 256) -> DataFrame:
+    """(part, record, doc_id, start, ids binary) of all records, checked, those of a file in a random order that ``seed`` tells.
+
+    The index gives each record's place, so only ``at_once`` records are held; every record is read once.
+    """
+
+    def run(batches):
+        source, folder = file_system(path)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                with source.open_input_stream(f"{folder}/part-{part:05d}.idx") as f:
+                    at = np.frombuffer(f.read(), "<i8")
+                order = np.random.default_rng([seed, part]).permutation(max(0, len(at) - 1))
+                with source.open_input_file(f"{folder}/part-{part:05d}.rec") as f:
+                    for k in range(0, len(order), at_once):
+                        chosen = order[k : k + at_once]
+                        data = [f.read_at(int(at[i + 1] - at[i]), int(at[i])) for i in chosen]
+                        places = np.r_[0, np.cumsum([len(d) for d in data])]
+                        read = _unframed(b"".join(data), places, part, 0, wide)
+                        yield read.set_column(1, "record", pa.array(chosen, pa.int64()))
+
+    return _dealt_parts(written).mapInArrow(run, "part int, record long, doc_id long, start long, ids binary")
+
+
 def _digested(records: pa.RecordBatch) -> pa.RecordBatch:
     ids = records.column(4).to_pylist()
     return pa.RecordBatch.from_arrays(

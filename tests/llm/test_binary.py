@@ -66,6 +66,16 @@ def test_round_trip_through_files(spark, tmp_path):
     assert unmask(struct.unpack("<I", data[12 + n : 16 + n])[0]) == binary.crc32c([data[12 : 12 + n]])[0]
 
 
+def test_shuffled_reads_use_the_index(spark, tmp_path):
+    docs, path = spark.createDataFrame([(i, t, None) for i, t in enumerate(TEXTS * 4)], DOC), str(tmp_path / "records")
+    written = binary.write_records(docs, path, PATH, parts=2)
+    plain = [tuple(r) for r in binary.read_records(written, path, wide=False).orderBy("part", "record").collect()]
+    one, again, other = ([tuple(r) for r in binary.read_shuffled(written, path, False, seed, at_once=3).collect()] for seed in (1, 1, 2))
+    assert one == again != other and sorted(one) == sorted(other) == sorted(plain) and one != sorted(one)
+    empty = binary.write_records(docs.limit(0), str(tmp_path / "none"), PATH)
+    assert binary.read_shuffled(empty, str(tmp_path / "none"), False, 1).count() == 0
+
+
 def test_query_on_small_table(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(TEXTS)], DOC)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
