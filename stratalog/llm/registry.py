@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_chat": chat.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {"op6_embeddings": embed_dedup.ORACLE, "op7_chat": chat.ORACLE, "op10_decontamination": decontam.ORACLE}

@@ -9,7 +9,8 @@ shared positional bytes are tallied, pairs below five are dropped, the rest are
 
 Exact copies share a fingerprint and are collapsed before; a posting list gives links that connect what
 it connects (a spanning forest where it is long), never all pairs of a dense group. Posting lists longer
-than ``BLOCK`` are cut into blocks and every pair of blocks is a task of its own.
+than ``BLOCK`` are cut into blocks and every pair of blocks is a task of its own. Of N fingerprints without
+relation a list holds N / 2^24, so about N^2 / 2^22 pairs are tallied: 10^9 fingerprints make 240 pairs each.
 """
 
 from __future__ import annotations

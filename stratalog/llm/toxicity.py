@@ -17,6 +17,7 @@ Only labels of training rows are read; language, source and id are no inputs.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import zlib
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm.common import bounded_batches, cut, table
@@ -33,8 +34,6 @@ from stratalog.llm.common import bounded_batches, cut, table
 WORD = re.compile(r"\w+")
 #: At most about so many labelled texts train the model; beyond, a hash of the id picks them.
 MAX_TRAINING = 40_000
-#: Features kept for each sign: those with the largest cautious scores.
-MAX_FEATURES = 50_000
 #: Strength of the Dirichlet prior as a share of the training counts, and its floor for one feature.
 PRIOR_SHARE, PRIOR_FLOOR = 0.01, 0.5
 #: Standard deviations by which a log-odds ratio is pulled towards zero.
@@ -125,30 +124,24 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(first, past, after - before) for first, past, before, after, _ in kept]
 
 
-def feature_scores(counts: dict[str, tuple[int, int]], texts: tuple[int, int], tests: int = 1) -> dict[str, float]:
-    """Cautious log-odds of each feature from the numbers of clean and toxic texts that hold it.
+def cautious_score(y0: Column, y1: Column, texts: tuple[int, int], needed: float) -> Column:
+    """Cautious log-odds of a feature that y0 clean and y1 toxic texts hold, of so many texts each; zero if it tells nothing.
 
-    ``tests`` is the number of features looked at. A feature counts as toxic only if so many toxic texts
-    among those that hold it are expected by chance (Chernoff's bound) for less than one of them: rare words
-    that a few toxic texts happen to share would else add up in long clean texts.
+    A feature counts as toxic only if so many toxic texts among those that hold it are less likely by chance
+    than exp(-needed) (Chernoff's bound). With the logarithm of the number of features looked at, less than
+    one is expected by chance: rare words that a few toxic texts happen to share would else add up in long
+    clean texts.
     """
-    out = {}
-    n0, n1 = max(texts[0], 1), max(texts[1], 1)
-    p, needed = n1 / (n0 + n1), math.log(max(tests, 1))
-    for f, (y0, y1) in counts.items():
-        prior = max(PRIOR_FLOOR, PRIOR_SHARE * (y0 + y1))
-        a0, a1 = prior * n0 / (n0 + n1), prior * n1 / (n0 + n1)
-        a0, a1 = max(a0, PRIOR_FLOOR), max(a1, PRIOR_FLOOR * n1 / (n0 + n1))
-        odds = math.log((y1 + a1) / (n1 + a1 + a0 - y1)) - math.log((y0 + a0) / (n0 + a1 + a0 - y0))
-        sd = math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
-        if odds > 0:
-            surprise = y1 * math.log(y1 / (y0 + y1) / p) + (y0 * math.log(y0 / (y0 + y1) / (1 - p)) if y0 else 0.0) if y1 else 0.0
-            cautious = odds - CAUTION * sd
-            if cautious > 0 and surprise >= needed:
-                out[f] = cautious
-        elif odds + CAUTION * sd < 0:
-            out[f] = odds + CAUTION * sd
-    return out
+    n0, n1 = float(max(texts[0], 1)), float(max(texts[1], 1))
+    p = n1 / (n0 + n1)
+    prior = F.greatest(F.lit(PRIOR_FLOOR), PRIOR_SHARE * (y0 + y1))
+    a0, a1 = F.greatest(prior * (1 - p), F.lit(PRIOR_FLOOR)), F.greatest(prior * p, F.lit(PRIOR_FLOOR * p))
+    odds = F.log((y1 + a1) / (n1 + a1 + a0 - y1)) - F.log((y0 + a0) / (n0 + a1 + a0 - y0))
+    sd = F.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
+    part = lambda y, share: F.when(y > 0, y * F.log(y / (y0 + y1) / share)).otherwise(0.0)
+    surprise = F.when(y1 > 0, part(y1, p) + part(y0, 1 - p)).otherwise(0.0)
+    toxic = (odds > 0) & (odds > CAUTION * sd) & (surprise >= needed)
+    return F.when(toxic, odds - CAUTION * sd).when((odds <= 0) & (odds + CAUTION * sd < 0), odds + CAUTION * sd).otherwise(0.0)
 
 
 def decay_rate(frequency: dict[float, float]) -> float:
@@ -223,39 +216,45 @@ def _count(batches):
     for batch in batches:
         for text, y, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             counts.update((f, half, y) for f in features(text))
-            counts["", half, y] += 1
             if len(counts) > 300_000:
                 yield from flush()
     yield from flush()
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, max_features: int = MAX_FEATURES) -> Model:
-    """The model from labelled rows. Without labels of both kinds every text scores alike, below one half."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Model:
+    """The model from labelled rows. Without labels of both kinds every text scores alike, below one half.
+
+    It holds every feature with a score; the bound of the training texts bounds their number.
+    """
     bounded_batches(docs.sparkSession)
     rows = cut(training_rows(docs, labels, limit))
+    texts = {(r.half, r.y): r["count"] for r in rows.groupBy("half", "y").count().collect()}
+    of = lambda halves, y: sum(texts.get((h, y), 0) for h in halves)
+    if not of((0, 1), 0) or not of((0, 1), 1):
+        return Model({}, 1.0, -3.0, 0.0)
     counted = rows.mapInArrow(_count, "f string, half int, y int, n long")
     summed = counted.groupBy("f").agg(
         *[F.sum(F.when((F.col("half") == h) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)]
     )
-    # enough texts to tell anything; the model is bounded by the best features of each sign
-    toxic, clean = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
-    summed = cut(summed.where((F.col("f") == "") | (toxic >= 2) | (clean >= 20)))
-    total = summed.where("f = ''").first()
-    if total is None or total.n01 + total.n11 == 0 or total.n00 + total.n10 == 0:
-        return Model({}, 1.0, -3.0, 0.0)
-    share = F.col("n01") + F.col("n11") + 0.5
-    ratio = F.log(share / (F.col("n00") + F.col("n10") + 0.5))
-    best = summed.where("f <> ''").where(toxic >= 2).orderBy(F.desc(ratio * F.sqrt(share)), "f").limit(max_features)
-    plain = summed.where("f <> ''").where(clean >= 20).orderBy(F.desc(clean), "f").limit(max_features)
-    found = {r.f: r for part in (best, plain) for r in part.collect()}
-    tests = summed.where((F.col("f") != "") & (toxic >= 2)).count()
 
-    def model(halves: tuple[int, ...]) -> Model:
-        counts = {f: (sum(r[f"n{h}0"] for h in halves), sum(r[f"n{h}1"] for h in halves)) for f, r in found.items()}
-        return Model(feature_scores(counts, tuple(sum(total[f"n{h}{y}"] for h in halves) for y in (0, 1)), tests))
+    def scored(halves: tuple[int, ...], needed: float) -> Column:
+        held = lambda y: functools.reduce(lambda a, b: a + b, [F.col(f"n{h}{y}") for h in halves])
+        return cautious_score(held(0), held(1), (of(halves, 0), of(halves, 1)), needed)
 
-    halves = rows.sparkSession.sparkContext.broadcast([model((1,)), model((0,))])
-    whole = rows.sparkSession.sparkContext.broadcast(model((0, 1)))
+    parts = {"whole": (0, 1), "first": (0,), "second": (1,)}
+    may_count = functools.reduce(lambda a, b: a | b, [scored(halves, 0.0) != 0 for halves in parts.values()])
+    # looked at are the features that more than one toxic text holds
+    several = F.col("n01") + F.col("n11") >= 2
+    summed = cut(summed.where(several | may_count))
+    needed = math.log(max(summed.where(several).count(), 1))
+    kept = summed.select("f", *[scored(halves, needed).alias(name) for name, halves in parts.items()])
+    found = kept.where("whole <> 0 OR first <> 0 OR second <> 0").collect()
+
+    def model(name: str) -> Model:
+        return Model({r.f: r[name] for r in found if r[name]})
+
+    halves = rows.sparkSession.sparkContext.broadcast([model("second"), model("first")])
+    whole = rows.sparkSession.sparkContext.broadcast(model("whole"))
 
     def background(batches):
         """Word scores of clean texts: how often each (rounded) occurs when the words were not counted."""
@@ -324,7 +323,10 @@ def located(text: str, found: list[tuple[int, int, float, float]]) -> list[dict]
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
+    """The rows of ``docs``, with all their columns whatever their names, that score below ``threshold``.
+
+    A null text scores as an empty one; repeated rows are treated one by one; an empty table stays empty.
+    """
     handle = docs.sparkSession.sparkContext.broadcast(model)
     bounded_batches(docs.sparkSession)
     at = docs.columns.index("text")

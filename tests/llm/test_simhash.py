@@ -59,7 +59,7 @@ def test_documents_against_brute_force(spark):
     assert sorted(map(tuple, got), key=key) == sorted(((d, f"{f:016x}", ids.get(roots[f])) for d, f in prints), key=key)
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK, 100])
+@pytest.mark.parametrize("block", [simhash.BLOCK, 100, 16])
 def test_links_of_dense_and_sparse_fingerprints(spark, block):
     rng = random.Random(5)
     values = {rng.getrandbits(64) for _ in range(300)}

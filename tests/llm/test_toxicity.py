@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.llm import toxicity
@@ -88,3 +90,36 @@ def test_without_labels_or_rows(spark):
         model = toxicity.train(frame, spark.createDataFrame(known, LABEL))
         assert [r.score < 0.5 for r in toxicity.score(frame, model).collect()] == [True]
     assert toxicity.score(frame.limit(0), model).count() == 0
+
+
+def slow_score(y0, y1, n0, n1, needed):
+    """The score of a feature by plain arithmetic."""
+    p = n1 / (n0 + n1)
+    prior = max(toxicity.PRIOR_FLOOR, toxicity.PRIOR_SHARE * (y0 + y1))
+    a0, a1 = max(prior * (1 - p), toxicity.PRIOR_FLOOR), max(prior * p, toxicity.PRIOR_FLOOR * p)
+    odds = math.log((y1 + a1) / (n1 + a1 + a0 - y1)) - math.log((y0 + a0) / (n0 + a1 + a0 - y0))
+    pull = toxicity.CAUTION * math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
+    if odds <= 0:
+        return min(0.0, odds + pull)
+    surprise = sum(y * math.log(y / (y0 + y1) / q) for y, q in ((y1, p), (y0, 1 - p)) if y) if y1 else 0.0
+    return odds - pull if odds > pull and surprise >= needed else 0.0
+
+
+def test_scores_of_features_and_texts_against_loops(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([0, 1, 3, 40, 300, 900]), rng.choice([0, 1, 2, 9, 80])) for _ in range(200)]
+    frame = spark.createDataFrame(rows, "y0 long, y1 long")
+    for needed in (0.0, 6.0):
+        got = frame.select("y0", "y1", toxicity.cautious_score(F.col("y0"), F.col("y1"), (1000, 100), needed).alias("s")).collect()
+        assert all(abs(r.s - slow_score(r.y0, r.y1, 1000, 100, needed)) < 1e-9 for r in got) and len({r.s for r in got}) > 5
+    model = toxicity.Model({"bad": 2.5, "^badl": 1.5, "fine": -0.5, "awful": 3.0}, lam=0.8, bias=-1.0, slope=2.0)
+    words = {"bad": 2.5, "badly": 1.5, "fine": -0.5, "awful": 3.0, "other": toxicity.DRIFT}
+    for _ in range(100):
+        text = [rng.choice(list(words)) for _ in range(rng.randint(1, 12))]
+        total = 0.0
+        for _, _, s in brute_segments([words[w] for w in text]):
+            normal = model.lam * s - math.log(toxicity.K * max(len(text), 1 / toxicity.K))
+            if 1 - math.exp(-math.exp(-normal)) <= toxicity.SIGNIFICANT:
+                total += normal
+        assert abs(model.evidence(" ".join(text))[0] - total) < 1e-9
+        assert abs(model.probability(total) - 1 / (1 + math.exp(1.0 - 2.0 * math.log(1 + total)))) < 1e-9
