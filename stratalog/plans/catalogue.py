@@ -221,19 +221,19 @@ def _joined(step):
 
 @_query(NOISY_SQL + "SELECT doc_id, md5(array_to_string(a, chr(10))) AS cleaned FROM ansi")
 def strip_ansi(spark, sf_dir):
-    return noisy_logs(spark, sf_dir).select("doc_id", F.md5(_joined(logtext.strip_ansi)(F.col("log"))).alias("cleaned"))
+    return extraction.spread(noisy_logs(spark, sf_dir)).select("doc_id", F.md5(_joined(logtext.strip_ansi)(F.col("log"))).alias("cleaned"))
 
 
 @_query(NOISY_SQL + "SELECT doc_id, md5(array_to_string(a, chr(10))) AS cleaned FROM stamp")
 def strip_timestamp(spark, sf_dir):
     step = lambda x: logtext.strip_timestamp(logtext.strip_ansi(x))
-    return noisy_logs(spark, sf_dir).select("doc_id", F.md5(_joined(step)(F.col("log"))).alias("cleaned"))
+    return extraction.spread(noisy_logs(spark, sf_dir)).select("doc_id", F.md5(_joined(step)(F.col("log"))).alias("cleaned"))
 
 
 @_query(NOISY_SQL + "SELECT doc_id, md5(array_to_string(a, chr(10))) AS cleaned FROM frame")
 def cr_collapse(spark, sf_dir):
     step = lambda x: logtext.last_frame(logtext.strip_timestamp(logtext.strip_ansi(x)))
-    return noisy_logs(spark, sf_dir).select("doc_id", F.md5(_joined(step)(F.col("log"))).alias("cleaned"))
+    return extraction.spread(noisy_logs(spark, sf_dir)).select("doc_id", F.md5(_joined(step)(F.col("log"))).alias("cleaned"))
 
 
 @_query(
@@ -242,7 +242,7 @@ def cr_collapse(spark, sf_dir):
 SELECT doc_id, n AS n_lines, md5(array_to_string(a[1:n], chr(10))) AS cleaned FROM ends"""
 )
 def clean_log(spark, sf_dir):
-    lines = noisy_logs(spark, sf_dir).select("doc_id", logtext.clean_lines(F.col("log")).alias("lines"))
+    lines = extraction.spread(noisy_logs(spark, sf_dir)).select("doc_id", logtext.clean_lines(F.col("log")).alias("lines"))
     return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("cleaned"))
 
 
