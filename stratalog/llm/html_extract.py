@@ -77,6 +77,8 @@ MIN_PAGES = 3
 CONSTANT, RECURRING, MAIN, LINKS = 0.5, 0.9, 0.5, 0.8
 #: What text under furniture names counts when the main node is looked for.
 DOUBTED = 0.25
+#: Hosts whose wrappers are broadcast all; a host has some kilobytes of them.
+FEW_HOSTS = 2_000
 #: Cells of an alignment table whose rows are all kept; of larger ones every so many rows are.
 CELLS = 1 << 22
 
@@ -594,7 +596,7 @@ def wrappers(parsed: DataFrame) -> DataFrame:
     hosts = some.groupBy("host").agg(F.sum("n").alias("pages"), merged.alias("s")).where(F.col("pages") >= MIN_PAGES)
     hosts = cut(hosts.select("host", "pages", F.col("s.shape").alias("shapes")).mapInArrow(_layouts, "host string, pages long, wrappers array<string>"))
     rows = full.select("host", "shape", "owners", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"), F.transform("texts", lambda t: F.char_length(t).cast("long")).alias("chars"), "links", "named")
-    joined = join_hot(rows, "host", hosts, "pages", rows.count())
+    joined = join_hot(rows, "host", hosts, "pages", rows.count(), FEW_HOSTS)
     filled = joined.mapInArrow(_slots, FILLED)
     distinct = filled.groupBy("host", "page").agg(F.min("slots").alias("slots"))
     texts = distinct.select("host", F.explode("slots").alias("s")).groupBy("host", "s.w", "s.slot", "s.h").agg(
@@ -678,7 +680,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kind = dict(known.dtypes)
     alone = rows.join(F.broadcast(hosts.select("host")) if hosts.count() <= 100_000 else hosts.select("host"), "host", "left_anti")
     alone = alone.select("*", F.lit(None).cast(kind["known"]).alias("known"), F.lit(None).cast(kind["constant"]).alias("constant"))
-    joined = join_hot(rows, "host", known, "pages", rows.count()).unionByName(alone)
+    joined = join_hot(rows, "host", known, "pages", rows.count(), FEW_HOSTS).unionByName(alone)
     return joined.select("page_id", "url", "shape", "owners", "hashes", "named", "known", "constant", "texts").mapInArrow(_contents, "page_id long, url string, text string")
 
 
