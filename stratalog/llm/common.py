@@ -92,49 +92,44 @@ def distributed_rank(
     return joined.drop(b, row, before, whole_n, n, *ks)
 
 
-def join_hot(rows: DataFrame, key: str, keyed: DataFrame, counted: str, total: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_hot(rows: DataFrame, key: str, keyed: DataFrame, counted: str, total: int, limit: int = 0) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which holds each value of ``key`` once and its row count in ``counted``.
 
-    ``keyed`` is counted, so it should be a cut frame; up to ``limit`` rows of it are broadcast. Beyond, keys
-    with more than ``HOT_ROWS`` rows and more than one row in ``HOT_SHARE`` of all ``total`` are joined by
-    broadcast, of which there are at most ``HOT_SHARE``, and only the others are shuffled. Null keys find nothing.
+    Keys with more than ``HOT_ROWS`` rows and more than one row in ``HOT_SHARE`` of all ``total`` are joined by
+    broadcast, of which there are at most ``HOT_SHARE``; only the others are shuffled. Up to ``limit`` rows of
+    ``keyed``, which is counted for that, all are broadcast. Null keys find nothing.
     """
-    names = [*rows.columns, *[c for c in keyed.columns if c not in (key, counted)]]
-    if keyed.count() <= limit:
-        return rows.join(F.broadcast(keyed.drop(counted)), key).select(*names)
+    if limit and keyed.count() <= limit:
+        return rows.join(F.broadcast(keyed.drop(counted)), key).select(*rows.columns, *[c for c in keyed.columns if c not in (key, counted)])
     bound = max(HOT_ROWS, total // HOT_SHARE)
     hot = F.broadcast(keyed.where(F.col(counted) > bound).drop(counted))
+    names = [*rows.columns, *[c for c in keyed.columns if c not in (key, counted)]]
     one = rows.join(hot, key).select(*names)
     rest = rows.join(hot.select(key), key, "left_anti").join(keyed.where(F.col(counted) <= bound).drop(counted), key)
     return one.unionByName(rest.select(*names))
 
 
-#: Edges of a graph that one task writes, about.
-EDGES = 2_000
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star steps: each replaces an edge by one to the smallest neighbour, so
     the edge count never grows and the number of rounds grows with the logarithm of the longest path. Of
-    a neighbourhood only the minimum is aggregated, combined before the shuffle; edges find it by
-    ``join_hot``, so those of a hub are never gathered in one task.
+    a neighbourhood only the minimum is aggregated, combined before the shuffle; the edges of a hub find
+    it by broadcast (``join_hot``), so they are never gathered in one task.
     """
-    distinct = (
+    current = cut(
         edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    current = cut(distinct)
     total = current.count()
-    parts = 1 + total // EDGES  # the graph never grows
-    small_cut = lambda df: cut(df.coalesce(parts))
     for _ in range(max_rounds):
         if not total:
             break
-        both = current.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-        least = small_cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("deg")))
+        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+            current.select(F.col("b").alias("u"), F.col("a").alias("v"))
+        )
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("deg"))
         large = (
             join_hot(both.where(F.col("v") > F.col("u")), "u", least, "deg", 2 * total)
             .select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -142,8 +137,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
         )
-        large = small_cut(large)
-        lowest = small_cut(large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("deg")))
+        large = cut(large)
+        lowest = large.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("deg"))
         small_star = (
             join_hot(large, "b", lowest, "deg", total)
             .select(F.explode(F.array(F.struct("m", F.col("a").alias("x")), F.struct("m", F.col("b").alias("x")))).alias("e"))
@@ -151,7 +146,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("a != b")
             .distinct()
         )
-        current = small_cut(small_star)
+        current = cut(small_star)
         # settled when every node hangs on one root and no root hangs on anything
         total, hanging = current.agg(F.count(F.lit(1)), F.countDistinct("b")).first()
         if total == hanging and current.join(current.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty():
