@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stratalog.scratch import cut
+from stratalog.scratch import cut, unconstrained
 
 # The threshold and the size beyond which a bucket is left as it is.
 THRESHOLD, MAX_BUCKET = 0.88, 60
@@ -75,16 +75,17 @@ def smallest_reachable(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Every round each digest takes the smallest label among itself and its neighbours, and then the label of
     that label, so a chain is halved in every round.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = cut(nodes.select("digest", F.col("digest").alias("cluster_id")))
-    while not both.isEmpty():
-        offered = both.join(label, F.col("b") == F.col("digest")).groupBy("a").agg(F.min("cluster_id").alias("near"))
-        lower = label.join(offered, F.col("digest") == F.col("a"), "left").select("digest", F.least("cluster_id", "near").alias("low"), F.col("cluster_id").alias("was"))
-        of = label.select(F.col("digest").alias("d"), F.col("cluster_id").alias("next"))
-        found = cut(lower.join(of, F.col("low") == F.col("d")).select("digest", F.least("low", "next").alias("cluster_id"), "was"))
-        label = found.select("digest", "cluster_id")
-        if found.where("cluster_id <> was").isEmpty():
-            break
+    with unconstrained(nodes.sparkSession):
+        both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        label = cut(nodes.select("digest", F.col("digest").alias("cluster_id")))
+        while not both.isEmpty():
+            offered = both.join(label, F.col("b") == F.col("digest")).groupBy("a").agg(F.min("cluster_id").alias("near"))
+            lower = label.join(offered, F.col("digest") == F.col("a"), "left").select("digest", F.least("cluster_id", "near").alias("low"), F.col("cluster_id").alias("was"))
+            of = label.select(F.col("digest").alias("d"), F.col("cluster_id").alias("next"))
+            found = cut(lower.join(of, F.col("low") == F.col("d")).select("digest", F.least("low", "next").alias("cluster_id"), "was"))
+            label = found.select("digest", "cluster_id")
+            if found.where("cluster_id <> was").isEmpty():
+                break
     return label
 
 

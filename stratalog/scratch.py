@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -47,3 +48,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and forget how they were made."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def unconstrained(spark: SparkSession):
+    """For loops over cut frames: a cut frame keeps what its plan tells about its columns, and from round to round
+    that grows with its own square until the driver does nothing but derive it."""
+    conf = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
