@@ -23,6 +23,7 @@ def frames(spark):
         (1, f"before {PASSAGE} after", "x"),
         (6, "word " * 200_000 + PASSAGE, "x"),
         (7, "one two three four five six seven eight nine ten", "x"),
+        (8, "said AGAIN.", "x"),
     ]
     items = [(10, PASSAGE, 1), (9, "short ITEM", 1), (9, "short ITEM", 2), (11, None, 3), (12, "...", 4), (None, "again", 5)]
     return spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
