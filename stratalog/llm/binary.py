@@ -128,11 +128,28 @@ def masked(crc: np.ndarray) -> np.ndarray:
 # Encoding ------------------------------------------------------------------------------------------
 
 
+#: Chunks of a text that are looked up before full caches give way.
+CHUNKS = 1 << 15
+
+
+class _Kept(dict):
+    """Values by key, made when a key is first asked for."""
+
+    def __init__(self, made) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key):
+        value = self[key] = self.made(key)
+        return value
+
+
 class Encoder:
     """The ids of whole texts by a tokenizer of the tokenizers library, given as its JSON text.
 
     Where the tokenizer splits texts into words by a known pattern and encodes word by word, the ids of a
-    word by the library's model are kept. All other tokenizers, and texts with characters outside those
+    word by the library's model are kept, as bytes, in two generations: when the younger one is full it takes
+    the place of the older one, so what comes again and again stays, however many rare words there are. All other tokenizers, and texts with characters outside those
     that ``simple`` lets pass (whose classes, case or composition may differ between libraries), go
     through ``encode``.
     """
@@ -151,7 +168,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(description)
-        self.limit, self.chunks, self.memo = memo, {}, {}
+        self.model, self.limit, self.young, self.old = self.tokenizer.model, memo, _Kept(self.made), {}
         made = json.loads(description)
         pre = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         byte_level = pre[-1].get("type") == "ByteLevel" and not pre[-1].get("add_prefix_space") and not pre[-1].get("use_regex")
@@ -167,42 +184,40 @@ class Encoder:
         for c in map(chr, [*range(1, 0x250), 0x307, *range(0x2010, 0x2028)]):
             self.alphabet.update(zip(c.encode(), level.pre_tokenize_str(c)[0][0], strict=True))
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.numbers = list(range(self.tokenizer.get_vocab_size()))  # one object for each id
+        self.kind = "<u4" if self.wide else "<u2"
+        self.packed = [i.to_bytes(4 if self.wide else 2, "little") for i in range(self.tokenizer.get_vocab_size())]
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        found = self.memo.get(word)
+    def made(self, chunk: str) -> bytes:
+        """The ids of characters between white space, which no word of the split spans, or of one word."""
+        found = self.old.get(chunk)
         if found is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-            found = tuple([self.numbers[t.id] for t in self.tokenizer.model.tokenize(mapped)])
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            self.memo[word] = found
+            words = [chunk] if chunk.isalpha() else self.words(chunk)
+            found = self.word_ids(words[0]) if len(words) == 1 else b"".join(map(self.young.__getitem__, words))
         return found
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        """The ids of characters between white space, which no word of the split spans."""
-        if chunk.isalpha():
-            return self.word_ids(chunk)
-        return tuple([i for word in self.words(chunk) for i in self.word_ids(word)])
+    def word_ids(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)])
 
-    def ids(self, text: str | None) -> list[int]:
+    def packed_ids(self, text: str | None) -> bytes:
+        """The ids of a text as they stand in the files."""
         if not text:
-            return []
+            return b""
         if not (self.by_word and self.simple(text)) or any(s in text for s in self.special):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        normal = text.lower()  # these characters are composed already and lower-cased one by one
-        chunks, out = self.chunks, []
-        if len(chunks) > self.limit:
-            chunks.clear()
-        for chunk in normal.split():
-            found = chunks.get(chunk)
-            if found is None:
-                found = chunks[chunk] = self.chunk_ids(chunk)
-            out += found
-        return out
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        chunks, out = text.lower().split(), []  # these characters are composed already and lower-cased one by one
+        for at in range(0, len(chunks), CHUNKS):
+            if len(self.young) >= self.limit:
+                self.old, self.young = self.young, _Kept(self.made)
+            out.append(b"".join(map(self.young.__getitem__, chunks[at : at + CHUNKS])))
+        return b"".join(out)
+
+    def ids(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.packed_ids(text), self.kind).tolist()
 
     def payload(self, text: str | None, end_id: int) -> np.ndarray:
-        return np.array([*self.ids(text), end_id], dtype="<u4" if self.wide or end_id >> 16 else "<u2")
+        kind = "<u4" if end_id >> 16 else self.kind
+        return np.append(np.frombuffer(self.packed_ids(text), self.kind), np.array([end_id], kind)).astype(kind, copy=False)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -1,5 +1,6 @@
 import random
 import struct
+import types
 import zlib
 
 import numpy as np
@@ -100,3 +101,23 @@ def test_damage_is_noticed(spark, tmp_path):
         assert "does not match" in str(error)
     else:
         raise AssertionError("damage went unnoticed")
+
+
+def test_frequent_words_stay_however_many_rare_ones_there_are():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.model.tokenize(word)
+
+    plain, coder = Tokenizer.from_file(PATH), binary.Encoder(open(PATH, encoding="utf-8").read(), memo=100)
+    model = Counting(plain.model)
+    coder.tokenizer, coder.model = types.SimpleNamespace(model=model), model
+    letters = "abcdefghij"
+    rare = ["".join(letters[int(d)] for d in str(k)) for k in range(10_000, 12_000)]
+    for k in range(0, len(rare), 10):
+        text = " ".join(rare[k : k + 10]) + " often, seen"
+        assert coder.payload(text, 2).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    assert len(model.asked) == len(rare) + 3
